@@ -8,6 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import tables
 from .exact_dedup import exact_dedup
+from .pii import find_pii
+from .secret_scan import scan_secrets
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(tables(spark, sf_dir, "documents"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(tables(spark, sf_dir, "documents"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +26,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": op1_secret_scan,
+        "op6_pii": op6_pii,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
