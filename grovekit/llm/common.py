@@ -37,6 +37,11 @@ def drop_table(*tables: DataFrame) -> None:
             p.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches end at 16 MB as well, so that a worker's memory doesn't follow the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,14 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import tables
 from .exact_dedup import exact_dedup
+from .near_dedup import near_dedup
 from .pii import find_pii
 from .secret_scan import scan_secrets
+from .substring_dedup import substring_dedup
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(tables(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(tables(spark, sf_dir, "documents"), with_bytes=False)
+
+
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(tables(spark, sf_dir, "documents"), words=3, num=85, den=100)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(tables(spark, sf_dir, "documents"))
 
@@ -27,6 +37,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op3_suffix_array_dedup": op3_suffix_array_dedup,
+        "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op6_pii": op6_pii,
         "op10_exact_dedup": op10_exact_dedup,
     }
