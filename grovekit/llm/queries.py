@@ -10,6 +10,7 @@ from .common import tables
 from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
 from .pii import find_pii
+from .quality import fit_quality
 from .secret_scan import scan_secrets
 from .substring_dedup import substring_dedup
 
@@ -18,6 +19,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(tables(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables(spark, sf_dir, "documents")
+    return fit_quality(docs, tables(spark, sf_dir, "labels")).score(docs)
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(tables(spark, sf_dir, "documents"), with_bytes=False)
 
@@ -37,6 +43,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op2_quality": op2_quality,
         "op3_suffix_array_dedup": op3_suffix_array_dedup,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op6_pii": op6_pii,
