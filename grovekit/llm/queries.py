@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import tables
 from .exact_dedup import exact_dedup
+from .html_extract import extract_main_text
 from .near_dedup import near_dedup
 from .pii import find_pii
 from .quality import fit_quality
@@ -28,6 +29,10 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(tables(spark, sf_dir, "documents"), with_bytes=False)
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(tables(spark, sf_dir, "pages"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(tables(spark, sf_dir, "documents"), words=3, num=85, den=100)
 
@@ -45,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": op1_secret_scan,
         "op2_quality": op2_quality,
         "op3_suffix_array_dedup": op3_suffix_array_dedup,
+        "op4_html_extract": op4_html_extract,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op6_pii": op6_pii,
         "op10_exact_dedup": op10_exact_dedup,
