@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import prepare
 
 # Kinds of elements.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -347,7 +347,7 @@ def extract_main_text(pages: DataFrame, field: Field | None = None) -> DataFrame
     by itself: repeated rows have repeated results. An empty table gives no rows. Other columns are not read.
     """
     spark = pages.sparkSession
-    bounded_batches(spark)
+    prepare(spark)
     model = spark.sparkContext.broadcast(field or trained_field())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

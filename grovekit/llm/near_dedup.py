@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, drop_table, write_table
+from .common import drop_table, prepare, write_table
 from .components import connected_components
 from .shingles import WordHashes, set_key, shingle_set, texts
 
@@ -148,7 +148,7 @@ def near_dedup(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, t
     no rows. Other columns are not read.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepare(spark)
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     last = spark.sparkContext.broadcast(_common_values(source, words, num, den).tobytes())
     scan = write_table(

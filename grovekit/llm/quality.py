@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import prepare
 from .shingles import texts
 
 #: Labelled rows of a class that train its dictionary, one piece of each; labelled rows that train the calibration.
@@ -74,7 +74,7 @@ class QualityModel:
         rows are scored alike. A model fitted without rows of both classes rejects nothing: all scores are 1. An empty
         table gives no rows. Only the text is an input of the score; other columns are not read.
         """
-        bounded_batches(docs.sparkSession)
+        prepare(docs.sparkSession)
         rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(held_out(F.col(doc_id)), F.lit(False)).alias("held_out"))
         if self.compressor is None:
             scored = rows.select("doc_id", "held_out", F.lit(1.0).alias("score"))
@@ -117,7 +117,7 @@ def _one_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> QualityModel:
     """Fits on labelled rows that are not held out. Null labels, ids and unlabelled rows are left out; of labels that
     repeat an id the least counts, of rows that repeat it each. Extra columns are not read."""
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     known = (
         labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
         .where(~held_out(F.col("doc_id"))).withColumn("rank", F.xxhash64("doc_id", F.lit("quality")))

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import tables
+from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
+from .line_dedup import line_dedup
+from .mixing import mix_sources
 from .near_dedup import near_dedup
 from .pii import find_pii
 from .quality import fit_quality
@@ -41,6 +44,18 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(tables(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(tables(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(tables(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(tables(spark, sf_dir, "documents"))
 
@@ -53,6 +68,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_html_extract": op4_html_extract,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op6_pii": op6_pii,
+        "op7_mixing": op7_mixing,
+        "op8_line_dedup": op8_line_dedup,
+        "op9_decontaminate": op9_decontaminate,
         "op10_exact_dedup": op10_exact_dedup,
     }
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, drop_table, write_table
+from .common import drop_table, prepare, write_table
 from .shingles import P1, mix, texts
 from .suffix_array import common_prefixes, suffix_array
 
@@ -230,7 +230,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     and each has its result. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepare(spark)
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     repeated = source.select("text").mapInArrow(_anchors, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1")
     slot = F.pmod("a", F.lit(BITMAP_BITS))  # BITMAP_BITS is a power of two: the same for signed and unsigned
