@@ -65,6 +65,17 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Ids that a broadcast may hold (8 bytes each); beyond that a merge join takes its place.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id isn't among ids; rows without an id stay."""
+    ids = write_table(ids.select(F.col(ids.columns[0]).cast("bigint").alias("_gk_gone")).distinct(), "gone-ids")
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+    return docs.join(side, docs[doc_id] == F.col("_gk_gone"), "left_anti")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once, also where body uses it inside a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

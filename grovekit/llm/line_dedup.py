@@ -166,3 +166,38 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     gone = removed_lines(source)
     rows = source.mapInArrow(_keyed, "doc_id long, text string, key long").join(gone, ["doc_id", "key"], "left").select("doc_id", "text", "gone")
     return rows.mapInArrow(_rebuilt, "doc_id long, n_lines long, removed array<int>, kept_sha256 string, kept_text string")
+
+
+def delete_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_chars: str | None = "n_chars") -> DataFrame:
+    """docs with all its columns, texts without their repeated lines and n_chars set anew; rows that lose all of their
+    text go. The cases are those of line_dedup()."""
+    prepare(docs.sparkSession)
+    gone = removed_lines(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")))
+    gone = gone.select(F.col("doc_id").alias("_gk_id"), F.col("key").alias("_gk_match"), F.col("gone").alias("_gk_gone"))
+    schema = docs.schema
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pa.array([text_key(b or b"") for b in texts(batch, text)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "_gk_key"])
+
+    def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, columns = batch.schema.names[:-1], batch.columns[:-1]
+            out, keep = [], []
+            for b, lost in zip(texts(batch, text), batch.column(len(names)).to_pylist(), strict=True):
+                if lost:
+                    lost = set(lost)
+                    b = b"\n".join(x for i, x in enumerate(b.split(b"\n")) if i not in lost)
+                out.append(b)
+                keep.append(not lost or bool(b.strip()))
+            at = names.index(text)
+            columns[at] = pa.array(out, pa.binary()).cast(pa.string())
+            if n_chars in names:
+                sizes = [None if b is None else len(b.decode()) for b in out]
+                columns[names.index(n_chars)] = pa.array(sizes, columns[names.index(n_chars)].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+
+    with_key = docs.mapInArrow(keyed, docs.schema.simpleString()[7:-1] + ",_gk_key:bigint")
+    met = with_key.join(gone, (F.col(doc_id) == F.col("_gk_id")) & (F.col("_gk_key") == F.col("_gk_match")), "left")
+    return met.select(*docs.columns, "_gk_gone").mapInArrow(rebuilt, schema)

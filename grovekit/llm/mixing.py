@@ -71,7 +71,7 @@ def mix_plan(docs: DataFrame, mix: Mix) -> list[tuple[str | None, int, float]]:
     return [(s, tokens[s], w[s]) for s in sorted(tokens, key=lambda s: (s is not None, s))]
 
 
-def mix_sources(docs: DataFrame, mix: Mix | None = None, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, mix: Mix | None = None, text: str = "text", doc_id: str = "doc_id", source: str = "source", with_key: bool = False) -> DataFrame:
     """One row for each time that a document is taken: doc_id, source, epoch, block, n_tokens, place.
 
     Tokens are words between white space. place in [0, 1) orders the whole mix with all sources spread evenly. A source
@@ -111,4 +111,12 @@ def mix_sources(docs: DataFrame, mix: Mix | None = None, text: str = "text", doc
     )
     within = W.partitionBy("source", "block", "epoch").orderBy(F.xxhash64("key", "epoch", seed), "key", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     placed = taken.withColumn("at", F.col("start") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
-    return placed.where("at < quota").select("doc_id", "source", "epoch", "block", F.col("tokens").alias("n_tokens"), (F.col("at") / F.col("quota")).alias("place"))
+    columns = ["doc_id", "source", "epoch", "block", F.col("tokens").alias("n_tokens"), (F.col("at") / F.col("quota")).alias("place")]
+    return placed.where("at < quota").select(*columns, *(["key"] if with_key else []))
+
+
+def mixed_texts(docs: DataFrame, mix: Mix | None = None, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """The mix with its texts: mix_sources() and text, a row for each time that a document is taken."""
+    taken = mix_sources(docs, mix, text, doc_id, source, with_key=True)
+    bodies = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("key"), F.col(text).alias("text")).dropDuplicates(["key"])
+    return taken.join(bodies, "key").drop("key")

@@ -90,6 +90,21 @@ class QualityModel:
             scored = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
         return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
+    def keep(self, docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+        """The rows of docs, with all their columns, whose text scores threshold or more. Nothing is shuffled."""
+        prepare(docs.sparkSession)
+        if self.compressor is None:
+            return docs
+        model = docs.sparkSession.sparkContext.broadcast(self)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = model.value
+            for batch in batches:
+                x = np.array([m.compressor.features(b or b"") for b in texts(batch, text)]).reshape(-1, 4)
+                yield batch.filter(pa.array(m.scores(x) >= threshold))
+
+        return docs.mapInArrow(run, docs.schema)
+
 
 def design(x: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(x)), x, x * x, x[:, :1] * x[:, 1:]])

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from .common import tables
 from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
@@ -72,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_decontaminate": op9_decontaminate,
         "op10_exact_dedup": op10_exact_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
