@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship_package
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -42,23 +39,11 @@ def drop_table(*tables: DataFrame) -> None:
             p.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-_shipped: set[str] = set()
-
-
 def prepare(spark: SparkSession) -> None:
     """For operators with Python workers: Arrow batches end at 16 MB as well, so that a worker's memory doesn't follow
     the length of texts, and workers get this package through Spark, wherever they start."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        _shipped.add(app)
-        root = Path(__file__).resolve().parent.parent
-        to = Path(tempfile.mkdtemp()) / f"{root.name}.zip"  # stays while the driver runs: executors fetch it from there
-        atexit.register(shutil.rmtree, to.parent, ignore_errors=True)
-        with zipfile.ZipFile(to, "w") as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f.relative_to(root.parent))
-        spark.sparkContext.addPyFile(str(to))
+    ship_package(spark)
 
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
