@@ -1,6 +1,6 @@
 """Removal of repeated byte strings with suffix arrays by induced sorting, in shards.
 
-Every 100-byte window has an anchor: the 24-byte gram of least hash in it, the leftmost of equals. Equal windows have
+Every 100-byte window has an anchor: the 40-byte gram of least hash in it, the leftmost of equals. Equal windows have
 equal anchors at equal offsets, so windows need to be compared only where their anchors are equal. Consecutive windows
 with one anchor form a run, whose context is the bytes they cover.
 
@@ -26,12 +26,12 @@ from .common import drop_table, prepare, write_table
 from .shingles import P1, mix, texts
 from .suffix_array import common_prefixes, suffix_array
 
-WINDOW, GRAM = 100, 24
+WINDOW, GRAM = 100, 40
 GRAMS = WINDOW - GRAM + 1
 #: Bits of the map of repeated anchors (8 MB). A set bit by chance only sends a run that nothing meets.
 BITMAP_BITS = 1 << 26
 #: A shard takes whole anchors until it has this many bytes.
-SHARD_BYTES = 1 << 19
+SHARD_BYTES = 1 << 20
 #: Stands for a missing doc_id: after all others.
 NO_ID = (1 << 63) - 1
 
@@ -43,9 +43,9 @@ def runs(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchor hash, first window, number of windows and anchor position of each run of b, WINDOW bytes or longer."""
     h = BYTE_HASHES[np.frombuffer(b, np.uint8)]
     wide = {}
-    for width in (1, 2, 4, 8):
+    for width in (1, 2, 4, 8, 16):
         wide[2 * width] = h = mix(h[:-width] * P1 + h[width:])
-    grams = mix(wide[16][: len(b) - GRAM + 1] * P1 + wide[8][16:])
+    grams = mix(wide[32][: len(b) - GRAM + 1] * P1 + wide[8][32:])
     # hash and position in one number, so that the least is the leftmost of the least
     n = len(grams)
     ranked = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
@@ -145,7 +145,7 @@ def _settle(groups: list[list[tuple]], out: list[tuple]) -> None:
     s[starts + lengths - 1] = 1
     s = np.append(s, 0)
     sa = suffix_array(s, 258)
-    equal_to_before = common_prefixes(s, sa, WINDOW) >= WINDOW
+    equal_to_before = common_prefixes(s, sa) >= WINDOW
     group = np.cumsum(~equal_to_before)
     owner = np.repeat(np.arange(len(contexts)), lengths)
     offset = np.arange(len(s) - 1) - starts[owner]
