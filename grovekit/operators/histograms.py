@@ -196,12 +196,17 @@ class Interval:
 
 
 class TargetHistogram:
-    """Intervals with counts and sums, limit entries at most; the closest neighbours are joined, the first of equals."""
+    """Intervals with counts and sums, limit entries at most; the closest neighbours are joined, the first of equals.
 
-    def __init__(self, limit: int, bins: list[Interval] | None = None):
+    parity: a gap counts only once it is known, as in a known implementation: an insertion makes its two gaps known, a
+    join the one to its right, a merge all of them. Of equal gaps the one known first is joined.
+    """
+
+    def __init__(self, limit: int, bins: list[Interval] | None = None, parity: bool = False):
         if limit < 1:
             raise ValueError("limit >= 1 is needed")
-        self.limit, self.bins = limit, list(bins or [])
+        self.limit, self.bins, self.parity = limit, list(bins or []), parity
+        self.known: list[tuple[tuple[float, float], tuple[float, float]]] = []
 
     def insert(self, y: float, count: int = 1) -> None:
         if math.isnan(y):
@@ -211,6 +216,9 @@ class TargetHistogram:
                 self.bins[i] = Interval(b.left, b.right, b.count + count, b.sum + y * count)
                 return
         self.bins.append(Interval(y, y, count, y * count))
+        self.bins.sort(key=lambda b: (b.left, b.right))
+        at = next(i for i, b in enumerate(self.bins) if b.left == y == b.right)
+        self._learn(at - 1, at)
         self._shrink()
 
     def merge(self, other: TargetHistogram) -> None:
@@ -218,15 +226,28 @@ class TargetHistogram:
         for b in other.bins:
             k = (b.left, b.right)
             at[k] = at[k].join(b) if k in at else b
-        self.bins = list(at.values())
+        self.bins = sorted(at.values(), key=lambda b: (b.left, b.right))
+        self._learn(0, len(self.bins))
         self._shrink()
 
+    def _learn(self, first: int, last: int) -> None:
+        """The gaps to the right of bins first to last are known."""
+        if self.parity:
+            for a, b in zip(self.bins[max(first, 0) : last + 1], self.bins[max(first, 0) + 1 : last + 2], strict=False):
+                self.known.append(((a.left, a.right), (b.left, b.right)))
+
+    def _closest(self) -> int:
+        places = range(len(self.bins) - 1)
+        if self.parity:
+            at = {((a.left, a.right), (b.left, b.right)): i for i, (a, b) in enumerate(zip(self.bins, self.bins[1:], strict=False))}
+            places = [at[k] for k in self.known if k in at] or places
+        return min(places, key=lambda i: max(self.bins[i + 1].left - self.bins[i].right, 0.0))
+
     def _shrink(self) -> None:
-        self.bins.sort(key=lambda b: (b.left, b.right))
         while len(self.bins) > self.limit:
-            gaps = [max(b.left - a.right, 0.0) for a, b in zip(self.bins, self.bins[1:], strict=False)]
-            k = gaps.index(min(gaps))
+            k = self._closest()
             self.bins[k : k + 2] = [self.bins[k].join(self.bins[k + 1])]
+            self._learn(k, k)
 
     def count(self) -> int:
         return sum(b.count for b in self.bins)
@@ -245,7 +266,7 @@ def summarize(histograms: list):
     if not histograms:
         return None
     first = histograms[0]
-    out = FeatureHistogram.empty(first.limit) if isinstance(first, FeatureHistogram) else TargetHistogram(first.limit)
+    out = FeatureHistogram.empty(first.limit) if isinstance(first, FeatureHistogram) else TargetHistogram(first.limit, parity=first.parity)
     for h in histograms:
         out.merge(h)
     return out
