@@ -129,7 +129,8 @@ def _settle(groups: list[list[tuple]], out: list[tuple]) -> None:
         seen = {}
         for row in rows:
             if row[4] in seen:
-                out.append((row[0], row[1], row[2], row[3]))
+                if row[:3] != seen[row[4]][:3]:  # else the same document in another row
+                    out.append((row[0], row[1], row[2], row[3]))
             else:
                 seen[row[4]] = row
         if len(seen) > 1:
