@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.histograms import FeatureHistogram, feature_histogram, feature_histogram_exact, summarize
+from ..operators.local_splits import best_split_local, small_rows
 from ..operators.splits import best_split, gini_by_split, majority_label
 from .tree import DecisionTree, Rule, route
 
@@ -55,7 +56,12 @@ class StreamingClassificationTree:
     def _splits(self, live: DataFrame, features: list[str]) -> list[tuple[int, int, float]]:
         """node, attr, threshold of each node to split: a row a leaf comes to the driver."""
         if self.bins is None:
-            gains = gini_by_split(feature_histogram_exact(live, features, "label"), parity=self.parity)
+            exact = feature_histogram_exact(live, features, "label").persist()
+            rows = small_rows(exact)
+            if rows is not None:
+                exact.unpersist()
+                return best_split_local(rows, self.parity)
+            gains = gini_by_split(exact, parity=self.parity)
             return sorted((r["node_id"], r["attr"], r["threshold"]) for r in best_split(gains).collect())
         by_node: dict = defaultdict(lambda: defaultdict(dict))
         for r in feature_histogram(live, features, "label", self.bins).collect():  # leaves x attrs x labels rows of bins

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.histograms import target_histogram_exact, weighted_upper_median
+from ..operators.histograms import target_histogram_exact, unpivot, weighted_upper_median
+from ..operators.local_splits import best_subset_local, small_rows
 from ..operators.splits import best_subset, subset_losses
 from .tree import DecisionTree, Rule, route
 
@@ -43,8 +44,13 @@ class StreamingRegressionTree:
                 tree.label(r["node_id"], r["median"])
             if level == self.levels:
                 break
-            exact = self._targets(live, features)
-            splits = [(r["node_id"], r["attr"], tuple(r["subset"])) for r in best_subset(subset_losses(exact, self.trim_ratio)).collect()]
+            exact = self._targets(live, features).persist()
+            small = small_rows(exact)
+            if small is not None:
+                splits = best_subset_local(small, self.trim_ratio)
+            else:
+                splits = [(r["node_id"], r["attr"], tuple(r["subset"])) for r in best_subset(subset_losses(exact, self.trim_ratio)).collect()]
+            exact.unpersist()
             if not splits:
                 break
             open_nodes = []
@@ -55,19 +61,19 @@ class StreamingRegressionTree:
         return RegressionModel(tree, features)
 
     def _medians(self, live: DataFrame) -> DataFrame:
-        counts = live.groupBy("node_id", "y").agg(F.count("*").alias("n"))
-        if self.bins is not None:
-            counts = _bounded(live.select("node_id", "y").withColumn("n", F.lit(1)), ["node_id"], 64 * self.bins)
+        if self.bins is None:
+            counts = live.groupBy("node_id", "y").agg(F.count("*").alias("n"))
+        else:
+            counts = _bounded(live, ["node_id"], 64 * self.bins)
         return weighted_upper_median(counts, ["node_id"])
 
     def _targets(self, live: DataFrame, features: list[str]) -> DataFrame:
-        exact = target_histogram_exact(live, features, "y")
-        return exact if self.bins is None else _bounded(exact, ["node_id", "attr", "value"], max(self.bins, 2))
+        if self.bins is None:
+            return target_histogram_exact(live, features, "y")
+        return _bounded(unpivot(live, features, ["node_id", "y"], "bigint"), ["node_id", "attr", "value"], max(self.bins, 2))
 
 
-def _bounded(counts: DataFrame, keys: list[str], bins: int) -> DataFrame:
-    """keys, y, n of bins centroids for each key."""
-    rows = counts.withColumn("y", F.explode(F.expr("array_repeat(y, cast(n as int))"))) if "n" in counts.columns else counts
-    return rows.groupBy(*keys).agg(F.histogram_numeric("y", F.lit(bins)).alias("b")).select(*keys, F.explode("b").alias("b")).select(
-        *keys, F.col("b.x").alias("y"), F.round("b.y").cast("bigint").alias("n")
-    )
+def _bounded(rows: DataFrame, keys: list[str], bins: int) -> DataFrame:
+    """keys, y, n: the centroids of y for each key, bins at most, combined before the shuffle."""
+    fine = rows.groupBy(*keys).agg(F.histogram_numeric("y", F.lit(bins)).alias("b")).select(*keys, F.explode("b").alias("b"))
+    return fine.select(*keys, F.col("b.x").alias("y"), F.round("b.y").cast("bigint").alias("n"))

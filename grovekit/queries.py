@@ -512,7 +512,7 @@ def gbm_predict(spark, sf_dir):
 @query("gbm_mae")
 def gbm_mae(spark, sf_dir):
     rows = value_rows(spark, sf_dir)
-    chain = GradientBoostingRegression(5, StreamingRegressionTree(levels=2), 0.3).fit(rows, VALUE_FEATURES, "y")
+    chain = GradientBoostingRegression(5, StreamingRegressionTree(levels=2, bins=32), 0.3).fit(rows, VALUE_FEATURES, "y")
     return chain.transform(rows).agg(F.round(mae(F.col("prediction"), F.col("y")), 6).alias("error"))
 
 
