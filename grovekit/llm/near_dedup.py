@@ -1,12 +1,13 @@
 """Near-duplicate documents by bottom-k sketches from one hash function.
 
-1. Values of shingles that very many sketches hold are found by counting; they rank after all others. Any one order
+1. Hashes of shingles that very many documents hold are found by counting; they rank after all others. Any one order
    gives whole results, this one keeps inverted lists short.
 2. A document keeps the first values of its shingle set in that order: as many as two sets of similarity t must share
    one of (size - ceil(t * size) + 1). It also keeps the least hashes as a sketch. Equal sets become one class.
 3. Inverted lists of kept values yield candidates in rounds. In a round every member of a list meets one centre, so a
    list of m costs m pairs, not m * m. Members that already are in one component meet no more. A last round takes the
-   pairs of different components that are left in a list, so no link is lost.
+   pairs of different components that are left in a list, so no link is lost. A value's places in two documents bound
+   their overlap if it is the first that they share; pairs that cannot reach the similarity so don't meet there.
 4. The sketch of the union estimates the similarity; pairs more than SIGMAS deviations short go.
 5. The rest is verified on full shingle sets, with integers.
 """
@@ -27,10 +28,11 @@ from .shingles import WordHashes, set_key, shingle_set, texts
 
 SKETCH = 64
 SIGMAS = 6
-#: A value in more sketches than this is common; at most MAX_COMMON of them are ranked last (8 bytes each, broadcast).
-COMMON, MAX_COMMON = 48, 250_000
+#: A value counted more often than this is common; at most MAX_COMMON of them are ranked last (8 bytes each, broadcast).
+#: Values among a document's least are always counted, others where REPEATS of 2000 documents have them.
+COMMON, MAX_COMMON, REPEATS = 48, 250_000, 4
 #: Rounds with one centre a list; what is left after them is paired in full.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 #: Documents of a round whose texts are picked by a broadcast of ids (8 bytes each); beyond that by a shuffled join.
 BROADCAST_IDS = 100_000
 
@@ -45,8 +47,15 @@ def _values(k: int, num: int, den: int):
         for batch in batches:
             rows = texts(batch, "text")
             for i in range(0, len(rows), 2000):
-                kept = [s[: n_kept(len(s), num, den)] for t in rows[i : i + 2000] if len(s := shingle_set(t, k, words))]
-                v, n = np.unique(np.concatenate(kept), return_counts=True) if kept else (np.empty(0, np.uint64), np.empty(0, np.int64))
+                sets = [s for t in rows[i : i + 2000] if len(s := shingle_set(t, k, words))]
+                if sets:
+                    v, n = np.unique(np.concatenate(sets), return_counts=True)
+                    least = np.unique(np.concatenate([s[: n_kept(len(s), num, den)] for s in sets]))
+                    counted = n >= REPEATS
+                    counted[np.searchsorted(v, least)] = True
+                    v, n = v[counted], n[counted]
+                else:
+                    v, n = np.empty(0, np.uint64), np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(n)], names=["v", "n"])
 
     return run
@@ -184,9 +193,11 @@ def _common_values(source: DataFrame, words: int, num: int, den: int) -> np.ndar
 
 
 def _lists(reps: DataFrame, num: int, den: int) -> DataFrame:
-    """v, class, rep, n: kept values that more than one document has. class: sizes within a factor t, by logarithm."""
+    """v, class, rep, n, rest: kept values that more than one document has. class: sizes within a factor t, by logarithm.
+    rest: how many values of the document stand at or after v in the order."""
     size = F.floor(F.log(F.col("n").cast("double")) / (math.log(den / num) * 1.0001))
-    postings = write_table(reps.select(F.explode("kept").alias("v"), size.cast("int").alias("class"), "rep", "n"), "near-postings")
+    postings = reps.select(F.posexplode("kept").alias("at", "v"), size.cast("int").alias("class"), "rep", "n")
+    postings = write_table(postings.select("v", "class", "rep", "n", (F.col("n") - F.col("at")).alias("rest")), "near-postings")
     shared = postings.groupBy("v").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("v")
     lists = write_table(postings.join(shared, "v", "left_semi"), "near-lists")
     drop_table(postings)
@@ -229,10 +240,10 @@ def _star_pairs(lists: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     Centres are the least members by a hash of the turn after the first, so that later turns reach other members.
     """
     rank = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-    centres = lists.groupBy("v", "class").agg(F.min(F.struct(rank.alias("rank"), "rep", "n", "component")).alias("c")).select("v", "class", "c.rep", "c.n", "c.component")
-    reach = centres.select("v", F.explode(F.array("class", F.col("class") + 1)).alias("class"), F.col("rep").alias("c_rep"), F.col("n").alias("c_n"), F.col("component").alias("c_component"))
+    centres = lists.groupBy("v", "class").agg(F.min(F.struct(rank.alias("rank"), "rep", "n", "rest", "component")).alias("c")).select("v", "class", "c.*")
+    reach = centres.select("v", F.explode(F.array("class", F.col("class") + 1)).alias("class"), F.col("rep").alias("c_rep"), F.col("n").alias("c_n"), F.col("rest").alias("c_rest"), F.col("component").alias("c_component"))
     near = lists.join(reach, ["v", "class"]).where(
-        f"rep <> c_rep and component <> c_component and {den} * least(n, c_n) >= {num} * greatest(n, c_n)"
+        f"rep <> c_rep and component <> c_component and {num + den} * least(rest, c_rest) >= {num} * (n + c_n)"
     )
     return near.select(F.least("rep", "c_rep").alias("a"), F.greatest("rep", "c_rep").alias("b")).distinct()
 
@@ -240,9 +251,9 @@ def _star_pairs(lists: DataFrame, turn: int, num: int, den: int) -> DataFrame:
 def _rest_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of members of one list that are in different components still."""
     x = lists.alias("x")
-    y = lists.select("v", F.explode(F.array("class", F.col("class") + 1)).alias("class"), "rep", "n", "component").alias("y")
+    y = lists.select("v", F.explode(F.array("class", F.col("class") + 1)).alias("class"), "rep", "n", "rest", "component").alias("y")
     near = x.join(y, ["v", "class"]).where(
-        f"x.rep <> y.rep and x.component <> y.component and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)"
+        f"x.rep <> y.rep and x.component <> y.component and {num + den} * least(x.rest, y.rest) >= {num} * (x.n + y.n)"
     )
     return near.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
