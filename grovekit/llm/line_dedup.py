@@ -1,13 +1,15 @@
 """Line deduplication by pairwise alignment.
 
-Documents that share a line are found through line hashes: each document is paired with the earliest holder of each of
-its lines that stand once in it, so a line that m documents share makes m pairs. A pair is aligned with patience diff on
-line hashes alone, and aligned common blocks with an informative line go from the later document.
+Documents are paired through hashes of what they share: each informative line, each least run of neighbouring lines with
+as many characters, each two shared lines in a row, and the whole sequence of shared lines. A document is paired with the
+earliest holder of each of them, so one that m documents share makes m pairs. A pair is aligned with patience diff on line
+hashes alone, and aligned common blocks that are long enough go from the later document, as do further copies in it.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import drop_table, prepare, write_table
 from .shingles import texts
 
-#: Characters that a line needs to pair documents and to hold up a block.
+#: Bytes that a line, or lines that stand side by side, need to pair documents and to hold up a block.
 MIN_CHARS = 24
 
 
@@ -28,38 +30,75 @@ def text_key(b: bytes) -> int:
     return xxhash.xxh3_64_intdigest(b) - (1 << 63)
 
 
-def line_hashes(b: bytes) -> list[tuple[int, int, bool]]:
-    """Number, hash and whether it is informative, of each line that isn't blank. Blanks at a line's ends don't count."""
+def line_hashes(b: bytes) -> list[tuple[int, int, int]]:
+    """Number, hash and bytes of each line that isn't blank. Blanks at a line's ends don't count."""
     out = []
     for i, line in enumerate(b.split(b"\n")):
         line = line.strip()
         if line:
-            out.append((i, xxhash.xxh3_64_intdigest(line) - (1 << 63), len(line) >= MIN_CHARS))
+            out.append((i, xxhash.xxh3_64_intdigest(line) - (1 << 63), len(line)))
     return out
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, keys, numbers, hashes, good, once = [], [], [], [], [], []
+        ids, keys, numbers, places, hashes, sizes = [], [], [], [], [], []
         for i, b in zip(batch.column(0).to_pylist(), texts(batch, "text"), strict=True):
             if i is None or not b:
                 continue
-            key, found = text_key(b), line_hashes(b)
-            times = Counter(h for _, h, _ in found)
-            for n, h, informative in found:
+            key = text_key(b)
+            for place, (n, h, size) in enumerate(line_hashes(b)):
                 ids.append(i)
                 keys.append(key)
                 numbers.append(n)
+                places.append(place)
                 hashes.append(h)
-                good.append(informative)
-                once.append(informative and times[h] == 1)
-        columns = [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(hashes, pa.int64()), pa.array(good, pa.bool_()), pa.array(once, pa.bool_())]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "line", "h", "good", "once"])
+                sizes.append(size)
+        columns = [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(places, pa.int32()), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "line", "place", "h", "size"])
+
+
+def run_hash(hashes: list[int]) -> int:
+    return xxhash.xxh3_64_intdigest(array("q", hashes).tobytes()) - (1 << 63)
+
+
+def pairing_hashes(mine: list[dict]) -> set[int]:
+    """Hashes through which a document's shared lines, in order, pair it. The least runs from a line and up to a line
+    together meet each line of any block of MIN_CHARS."""
+    h, size = [x["h"] for x in mine], [x["size"] for x in mine]
+    apart = [x["place"] - i for i, x in enumerate(mine)]  # equal for lines side by side
+    out = {x for x, n in zip(h, size, strict=True) if n >= MIN_CHARS}
+    for i, n in enumerate(size):
+        if n < MIN_CHARS:
+            for step in (1, -1):
+                j, total = i, n
+                while total < MIN_CHARS and 0 <= j + step < len(h) and apart[j + step] == apart[i]:
+                    j += step
+                    total += size[j]
+                if total >= MIN_CHARS:
+                    out.add(run_hash(h[min(i, j) : max(i, j) + 1]))
+        if i and max(n, size[i - 1]) >= MIN_CHARS:
+            out.add(run_hash(h[i - 1 : i + 1]))
+    if len(h) > 2:
+        out.add(run_hash(h))
+    return out
+
+
+def _pairing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, keys, hashes = [], [], []
+        for i, key, mine in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "mine")), strict=True):
+            found = pairing_hashes(mine)
+            ids += [i] * len(found)
+            keys += [key] * len(found)
+            hashes += found
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ids, keys, hashes)], names=["doc_id", "key", "h"])
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned positions of equal items. Items that are unique in both sequences anchor the alignment: their longest
-    increasing chain is kept, equal neighbours extend it, and the gaps between are aligned likewise."""
+    increasing chain is kept, equal neighbours extend it, and the gaps between are aligned likewise. In a gap without
+    such items, the first of equal items counts as one item, the second as another, and so on."""
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
@@ -74,6 +113,16 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         in_a, in_b = Counter(a[a0:a1]), Counter(b[b0:b1])
         at = {x: j for j, x in enumerate(b[b0:b1], b0) if in_b[x] == 1}
         unique = [(i, at[x]) for i, x in enumerate(a[a0:a1], a0) if in_a[x] == 1 and x in at]
+        if not unique:
+            at, seen = {}, Counter()
+            for j, x in enumerate(b[b0:b1], b0):
+                at[x, seen[x]] = j
+                seen[x] += 1
+            seen.clear()
+            for i, x in enumerate(a[a0:a1], a0):
+                if (x, seen[x]) in at:
+                    unique.append((i, at[x, seen[x]]))
+                seen[x] += 1
         tops, rows, back = [], [], []
         for i, j in unique:
             k = bisect_left(tops, j)
@@ -97,20 +146,47 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _held_up(block: list[int], mine: list[dict]) -> list[int]:
+    """What goes of a block: all if a line is informative, else the lines side by side that have MIN_CHARS together."""
+    if any(mine[k]["size"] >= MIN_CHARS for k in block):
+        return block
+    out, part = [], []
+    for k in [*block, None]:
+        if part and (k is None or mine[k]["place"] != mine[part[-1]]["place"] + 1):
+            out += part if sum(mine[p]["size"] for p in part) >= MIN_CHARS else []
+            part = []
+        part.append(k)
+    return out
+
+
+def deleted(mine: list[dict], theirs: list[dict]) -> list[int]:
+    """Positions in mine of the blocks that align with theirs, and of further copies of these blocks."""
+    h = [x["h"] for x in mine]
+    blocks, last = [], None
+    for i, j in patience(h, [x["h"] for x in theirs]):
+        if last is None or (i, j) != (last[0] + 1, last[1] + 1):
+            blocks.append([])
+        blocks[-1].append(i)
+        last = (i, j)
+    gone = [k for block in blocks for k in _held_up(block, mine)]
+    lines, place = {h[k] for k in gone}, set(gone)
+    follow = {(h[i], h[j]) for i, j in zip(gone, gone[1:], strict=False) if j == i + 1}
+    copy: list[int] = []
+    for k in range(len(h) + 1):
+        more = k < len(h) and k not in place and h[k] in lines
+        if copy and not (more and copy[-1] == k - 1 and (h[k - 1], h[k]) in follow):
+            gone += _held_up(copy, mine)
+            copy = []
+        if more:
+            copy.append(k)
+    return gone
+
+
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         gone = []
         for mine, theirs in zip(batch.column("mine").to_pylist(), batch.column("theirs").to_pylist(), strict=True):
-            pairs = patience([x["h"] for x in mine], [x["h"] for x in theirs])
-            lines, block, last = [], [], None
-            for i, j in pairs:
-                if last is not None and (i, j) != (last[0] + 1, last[1] + 1):
-                    lines += block if any(mine[k]["good"] for k in block) else []
-                    block = []
-                block.append(i)
-                last = (i, j)
-            lines += block if any(mine[k]["good"] for k in block) else []
-            gone.append([mine[k]["line"] for k in lines])
+            gone.append([mine[k]["line"] for k in deleted(mine, theirs)])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "key", "gone"])
 
 
@@ -136,20 +212,22 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed_lines(source: DataFrame) -> DataFrame:
     """doc_id, key, gone: numbers of the lines to delete, for documents that lose any."""
-    lines = write_table(source.mapInArrow(_lines, "doc_id long, key long, line int, h long, good boolean, once boolean"), "lines")
+    lines = write_table(source.mapInArrow(_lines, "doc_id long, key long, line int, place int, h long, size int"), "lines")
     # holders of a line by (doc_id, key); one row for each line and task after partial aggregation, also for hot lines
     doc = F.struct("doc_id", "key")
-    shared = lines.groupBy("h").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi"), F.min(F.when(F.col("once"), doc)).alias("first"))
-    shared = write_table(shared.where("lo <> hi").select("h", "first"), "lines-shared")
-    kept = write_table(lines.join(shared, "h"), "lines-kept")
+    shared = lines.groupBy("h").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi"))
+    shared = write_table(shared.where("lo <> hi").select("h"), "lines-shared")
+    kept = lines.join(shared, "h").groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("line", "place", "h", "size"))).alias("mine"))
+    sequences = write_table(kept, "lines-sequences")
     drop_table(lines, shared)
-    pairs = kept.where("once and first < struct(doc_id, key)").select("doc_id", "key", F.col("first.doc_id").alias("f_id"), F.col("first.key").alias("f_key")).distinct()
-    sequences = write_table(kept.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("line", "h", "good"))).alias("mine")), "lines-sequences")
+    holders = write_table(sequences.mapInArrow(_pairing, "doc_id long, key long, h long"), "lines-holders")
+    first = holders.groupBy("h").agg(F.min(doc).alias("first"), F.max(doc).alias("hi")).where("first <> hi").select("h", "first")
+    pairs = holders.join(first, "h").where("first < struct(doc_id, key)").select("doc_id", "key", F.col("first.doc_id").alias("f_id"), F.col("first.key").alias("f_key")).distinct()
     theirs = sequences.select(F.col("doc_id").alias("f_id"), F.col("key").alias("f_key"), F.col("mine").alias("theirs"))
     gone = pairs.join(sequences, ["doc_id", "key"]).join(theirs, ["f_id", "f_key"]).select("doc_id", "key", "mine", "theirs")
     gone = gone.mapInArrow(_aligned, "doc_id long, key long, gone array<int>").where("size(gone) > 0")
     out = write_table(gone.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), "lines-gone")
-    drop_table(kept, sequences)
+    drop_table(holders, sequences)
     return out
 
 

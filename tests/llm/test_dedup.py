@@ -201,3 +201,26 @@ def test_lines_keep_an_earliest_copy(spark):
             first.setdefault(x, i)
     assert all(x in got[i].split("\n") for x, i in first.items())
     assert sum(map(len, got.values())) < sum(len(t) for _, t in rows) / 2
+
+
+def test_lines_pair_copies_of_a_crossed_document(spark):
+    line = lambda k: f"this is the informative line number {k} of all"
+    rows = [(1, f"{line(1)}\n{line(2)}"), (2, f"{line(2)}\n{line(1)}"), (3, f"{line(2)}\n{line(1)}"), (4, f"{line(8)}\n{line(2)}\n{line(1)}\n{line(9)}")]
+    got = {r.doc_id: list(r.removed) for r in line_dedup(frame(spark, rows)).collect()}
+    assert got[1] == [] and len(got[2]) == 1 and got[3] == [0, 1] and got[4] == [1, 2]
+
+
+def test_lines_short_or_repeated(spark):
+    line = lambda k: f"this is the informative line number {k} of all"
+    verse = "one two three\nfour five six\n\nseven eight"
+    rows = [
+        (1, f"{verse}\nend of one"),
+        (2, f"before it\n{verse}\nand after"),  # a block of short lines
+        (3, "before it\nother\nfour five six"),  # short lines apart
+        (4, f"{line(1)}\n{line(2)}"),
+        (5, f"{line(1)}\n{line(2)}\n{line(3)}\n{line(1)}\n{line(2)}"),  # a passage twice
+        (6, f"{line(4)}\n{line(5)}\n{line(4)}"),
+        (7, f"{line(4)}\n{line(6)}"),  # twice in the earlier one
+    ]
+    got = {r.doc_id: list(r.removed) for r in line_dedup(frame(spark, rows)).collect()}
+    assert got == {1: [], 2: [1, 2, 4], 3: [], 4: [], 5: [0, 1, 3, 4], 6: [], 7: [0]}
