@@ -90,6 +90,29 @@ def test_leaks(spark):
     assert find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")).count() == 0
 
 
+def test_leaks_of_poor_windows_names_and_clashes(spark):
+    r = random.Random(7)
+    fill = lambda: words(r, 20)
+    tom = "Tom has 5 apples. Tom gives Ann 2 apples. Ann buys 3 pears."
+    long = f"{words(r, 20)} 12 {words(r, 10)} 12 {words(r, 8)}"
+    part = words(r, 25)
+    lined = f"{words(r, 5)} Anna {words(r, 3)} Peter {words(r, 3)} Carla {words(r, 3)} Maria {words(r, 3)}"
+    table = "Paris 12 14 Rome 15 19 Berlin 8 11 Madrid 20 25 Oslo 2 4"
+    items = [(1, "What is 12 times 7?"), (2, table), (3, f"{part} {words(r, 30)}"), (4, tom), (5, lined), (6, long)]
+    docs = [
+        (1, f"{fill()} What is 12 times 7? {fill()}"),
+        (2, f"{fill()} {table} {fill()}"),
+        (3, f"{fill()} {part} {fill()}"),  # a long verbatim run, less than half of the item
+        (4, f"{fill()}. {tom.replace('Tom', 'Bob').replace('Ann', 'Eve').replace('5', '9')} {fill()}"),
+        (5, f"{fill()} {lined.lower()} {fill()}"),
+        (6, lined.replace(" Anna", "\nAnna").replace(" Peter", "\nPeter").replace(" Carla", "\nCarla")),
+        (7, f"{fill()} {long[::-1].replace('21', '31', 1)[::-1]} {fill()}"),  # one of two equal numbers changed
+        (8, f"{fill()} What is 13 times 8? {fill()}"),
+    ]
+    got = find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(x.doc_id, x.item_id) for x in got.collect()} == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 5), (7, 6)}
+
+
 def test_leaks_against_containment(spark):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     plain = lambda t: " ".join(t.lower().split())
