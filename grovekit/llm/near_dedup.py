@@ -227,6 +227,8 @@ def _links(source: DataFrame, heads: DataFrame, lists: DataFrame, words: int, nu
         pairs = write_table(pairs, "near-pairs")
         n_pairs = pairs.count()
         if not n_pairs and turn:
+            if turn < STAR_ROUNDS:  # the centres met nobody new; pairs that met no centre are left to the last round
+                continue
             break
         tried = pairs if tried is None else tried.union(pairs)
         good = _verify(source, heads, pairs, words, num, den)

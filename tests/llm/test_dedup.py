@@ -13,6 +13,7 @@ from grovekit.llm.exact_dedup import DigestIndex, exact_dedup
 from grovekit.llm.line_dedup import delete_repeated_lines, line_dedup, patience
 from grovekit.llm.near_dedup import near_dedup
 from grovekit.llm.queries import ORACLES
+from grovekit.llm.shingles import WordHashes, shingle_set
 from grovekit.llm.substring_dedup import WINDOW, substring_dedup
 from grovekit.llm.suffix_array import common_prefixes, suffix_array
 
@@ -115,6 +116,22 @@ def test_near(spark, k, num):
         assert sorted((r.doc_id, r.component_id) for r in twice) == [(0, 0), (1, 1), (1, 1)]
 
 
+def test_near_links_that_meet_no_centre(spark):
+    """a~b~c but not a~c, with a the centre of all their lists in both star rounds: b-c is left to the last round."""
+    ids = [r.i for r in spark.range(1, 40).selectExpr("id i", "xxhash64(id, 1) h").orderBy("h").collect()]
+    a = next(i for i in ids if i < 30)
+    later = [i for i in ids[ids.index(a) + 1 :] if i > a][:2]
+    r = random.Random(4)
+    for _ in range(1000):
+        w = [f"w{r.randint(0, 10**6)}" for _ in range(20)]
+        rows = [(a, w), (later[0], [*w[:-1], "x"]), (later[1], ["y", *w[1:-1], "x"])]
+        sets = [shingle_set(" ".join(x).encode(), 3, WordHashes()) for _, x in rows]
+        if len({s[:3].tobytes() for s in sets}) == 1:
+            break
+    got = near_dedup(frame(spark, [(i, " ".join(x)) for i, x in rows]), 3, 85, 100).collect()
+    assert {r.component_id for r in got} == {a}
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 3), max_size=50), st.booleans())
 def test_suffix_array(symbols, wide):
