@@ -44,11 +44,12 @@ def best_split_local(rows, parity: bool = False) -> list[tuple[int, int, float]]
             left, whole = s.sum(1), total.sum()
             small = 1 - ((s / left[:, None]) ** 2).sum(1)
             right = 1 - (((1 - s / left[:, None]) if parity else (total - s) / (whole - left)[:, None]) ** 2).sum(1)
-            gain = np.round(1 - ((total / whole) ** 2).sum() - left / whole * small - (1 - left / whole) * right, 9)
+            exact = 1 - ((total / whole) ** 2).sum() - left / whole * small - (1 - left / whole) * right
+            gain = np.round(exact, 9)
             k = int(gain.argmax())  # the first of equals: the least threshold
-            if gain[k] > 1e-9 and (best is None or gain[k] > best[0]):
-                best = (gain[k], attr, float(values[k + 1]))
-        if best:
+            if best is None or gain[k] > best[0]:
+                best = (gain[k], attr, float(values[k + 1]), exact[k])
+        if best and best[3] > 1e-12:
             out.append((node, best[1], best[2]))
     return out
 

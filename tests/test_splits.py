@@ -21,6 +21,13 @@ def test_gini_on_the_driver_and_in_plans(spark, parity):
     assert best_split_local(exact.collect(), parity) == plan and len(plan) == 3
 
 
+def test_small_gains_split_on_the_driver_and_in_plans(spark):
+    counts = [(0, 0, "a", 0.0, 100000), (0, 0, "b", 0.0, 100000), (0, 0, "a", 1.0, 100002), (0, 0, "b", 1.0, 99998)]  # a gain of 5e-11
+    exact = spark.createDataFrame(counts, "node_id int, attr int, label string, value double, n bigint")
+    plan = [(r.node_id, r.attr, r.threshold) for r in best_split(gini_by_split(exact)).collect()]
+    assert best_split_local(exact.collect()) == plan == [(0, 0, 1.0)]
+
+
 @pytest.mark.parametrize("trim", [1.0, 0.8])
 def test_subsets_on_the_driver_and_in_plans(spark, trim):
     exact = target_histogram_exact(rows(spark), ["x", "z", "k"], "y")
