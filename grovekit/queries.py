@@ -403,8 +403,8 @@ def ctree_nodes(spark, sf_dir):
 
 @query("ctree_bounded_nodes")
 def ctree_bounded(spark, sf_dir):
-    wide = table(spark, sf_dir, "embeddings").select(*(F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(8)), "label")
-    return StreamingClassificationTree(levels=3, bins=16).fit(wide, [f"f{i}" for i in range(8)], "label").tree.nodes_frame(spark, "int")
+    wide = table(spark, sf_dir, "embeddings").select(*(F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(64)), "label")
+    return StreamingClassificationTree(levels=3, bins=16).fit(wide, [f"f{i}" for i in range(64)], "label").tree.nodes_frame(spark, "int")
 
 
 # ---- regression and boosting ----------------------------------------------------------------------------------------

@@ -119,3 +119,11 @@ def test_kmeans(spark):
     assert not ConvergenceCriteria().converges([[0.0]], [[0.0]], 99)
     with pytest.raises(ValueError):
         KMeans(2, 5, ConvergenceCriteria(0)).fit(rows)
+
+
+def test_bounded_tree_takes_all_of_an_embedding(spark, tmp_path):
+    from grovekit.queries import QUERIES
+
+    rows = [([0.5] * 63 + [float(i % 2)], i % 2) for i in range(40)]  # the last entry alone tells the label
+    spark.createDataFrame(rows, "embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert QUERIES["ctree_bounded_nodes"](spark, str(tmp_path)).where("node_id = 0").first().feature == 63
