@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 
+from ..scratch import write_table
+
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """df, written to spark.checkpoint.dir (else the warehouse) and read again; survives lost executors."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/grovekit-lineage/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return write_table(df, "lineage")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,7 @@ from .plans.classification import StreamingClassificationTree
 from .plans.kmeans import ConvergenceCriteria, KMeans, KMeansPlusPlus, RandomSample, accumulate, estimate, nearest
 from .plans.regression import StreamingRegressionTree
 from .plans.tree import DecisionTree, Rule
+from .scratch import new_folder
 from .sources.csv import csv_file
 from .sources.random import NormalParams, RandomClassification, RandomRegression
 from .sources.rows import chunk_indices, count_rows, fetch_items, number_rows, select_rows, slice_rows
@@ -121,8 +121,7 @@ def chunks(spark, sf_dir):
 
 @query("csv_round_trip", "select o_orderkey, o_custkey, o_totalprice from orders")
 def csv_round_trip(spark, sf_dir):
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/grovekit-csv/{uuid.uuid4().hex}"
+    path = new_folder(spark, "csv")
     table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice").write.option("header", False).csv(path)
     return csv_file(spark, path, "o_orderkey bigint, o_custkey bigint, o_totalprice double")
 
