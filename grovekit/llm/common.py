@@ -1,42 +1,16 @@
-"""Shared helpers: the cluster's shared folder, written intermediate tables, native span finding."""
+"""Shared helpers: reading, anti-joins on ids, native span finding."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import drop_table, write_table
 from ..shipping import ship_package
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the warehouse (shared as well)."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/grovekit-scratch"
+__all__ = ["NO_SPANS", "drop_table", "write_table", "prepare", "tables", "without_ids", "let", "find_spans", "tagged", "joined", "sha_hex"]
 
-
-def write_table(df: DataFrame, label: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet in the shared folder and reads it back. Survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def drop_table(*tables: DataFrame) -> None:
-    """Deletes tables of write_table() that nothing reads any more."""
-    for t in tables:
-        path = getattr(t, "scratch_path", None)
-        if path:
-            jvm = t.sparkSession.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -69,10 +43,11 @@ def let(value: Column, body) -> Column:
 BLOCK = 64
 
 
-def find_spans(text: Column, pattern: str) -> Column:
+def find_spans(text: Column, pattern: str, around=None, more: str = "") -> Column:
     """array<struct<s int, e int, t string>> of a Java pattern's leftmost non-overlapping matches, in code points.
 
-    The pieces between matches and the matches themselves give the offsets; two-level block sums keep this near linear
+    around(before, after) may give further columns, of the types that more tells (",p:string"), from the text between a
+    match and its neighbours. The pieces between matches and the matches themselves give the offsets; two-level block sums keep this near linear
     for texts with many matches. The pattern never matches the empty string.
     """
     both = F.struct(
@@ -99,15 +74,16 @@ def find_spans(text: Column, pattern: str) -> Column:
                 + F.aggregate(F.slice(steps, i - rest + 1, rest), F.lit(0), lambda a, x: a + x)
                 + F.length(F.get(v["gaps"], i))
             )
-            return F.struct(start.alias("s"), (start + F.length(h)).alias("e"), h.alias("t"))
+            beside = around(F.get(v["gaps"], i), F.get(v["gaps"], i + 1)) if around else ()
+            return F.struct(start.alias("s"), (start + F.length(h)).alias("e"), h.alias("t"), *beside)
 
         return F.transform(v["hits"], one)
 
-    return let(both, lambda v: F.when(F.size(v["hits"]) > 0, with_steps(v)).otherwise(NO_SPANS()))
+    return let(both, lambda v: F.when(F.size(v["hits"]) > 0, with_steps(v)).otherwise(NO_SPANS(more)))
 
 
-def NO_SPANS() -> Column:
-    return F.expr("cast(array() as array<struct<s:int,e:int,t:string>>)")
+def NO_SPANS(more: str = "") -> Column:
+    return F.expr(f"cast(array() as array<struct<s:int,e:int,t:string{more}>>)")
 
 
 def tagged(spans: Column, rank: int, kind: str) -> Column:

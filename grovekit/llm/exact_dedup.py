@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, shared_dir, write_table
+from .common import UPPER, write_table
 
 #: A digest with at least this share of the batch's rows is hot; there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 1 / 1000

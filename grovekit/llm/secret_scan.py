@@ -1,9 +1,9 @@
 """Secret scan by multipart credential linking, on DataFrame functions only.
 
-Strong parts are found by pattern: assigned secrets, access identifiers and long hex strings. Weak parts (opaque
-tokens, identifier assignments, endpoints) mean little alone. Parts of one document are joined on intervals within a
-scope, and a weak part is reported only where a part of a complementary type stands in its scope: a secret beside an
-identifier or endpoint, an identifier or endpoint beside a secret.
+Strong parts are found by pattern: assigned secrets, access identifiers and long hex strings. Weak parts (opaque tokens,
+identifier assignments, account addresses, endpoints) mean little alone. Parts of one document are joined on intervals
+within a scope, and a weak part is reported only where a part of a complementary type stands in its scope: a secret
+beside an identifier or endpoint, an identifier or endpoint beside a secret.
 """
 
 from __future__ import annotations
@@ -13,47 +13,62 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import find_spans, let, joined, sha_hex, tagged, write_table
+from .common import NO_SPANS, find_spans, joined, let, sha_hex, tagged, write_table
 
 # The base patterns and the order of their kinds.
-ASSIGN = (
-    "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
-    "[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
-)
+NAME = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+ASSIGN = NAME + "[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = "AKIA[A-Z0-9]{16,}+"
 HEX = "(?<![0-9a-f])[0-9a-f]{24,}+"
 
-#: Weak parts. An opaque token has 20 or more characters of three classes; it never starts inside a longer run.
-TOKEN = "(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=-]{20,}+(?![.@])"
-IDENTIFIER = "(?i)\\b(?:client|account|user|access|key|app|tenant)[_-](?:id|key|name)[\"']?\\x20{0,4}[:=]\\x20{0,4}[\"']?[a-z0-9_.@-]{4,}+"
-ENDPOINT = "(?i)\\b(?:https?|amqps?|postgres(?:ql)?|mysql|mongodb|redis)://[a-z0-9.:-]++"
+#: What the base patterns take: weak parts are looked for in the rest of a text.
+BASE = f"(?:{NAME}[\"']?\\x20*+[:=]\\x20*+[\"']?[A-Za-z0-9+/_.=-]{{6,}}+|{ACCESS}|{HEX})"
 
-#: Code points between two parts of one credential, at most.
+#: Weak parts: kind to pattern and type. An opaque token has 20 or more characters of three classes and never starts inside
+#: a longer run; an account is an e-mail address; an endpoint is a URL's scheme and host, or an IPv4 address.
+IDENTITY, SECRET, PLACE = 0, 1, 2
+WEAK = {
+    "secret": ("(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_=-]{20,}+(?![.@])", SECRET),
+    "identifier": ("(?i:(?<![a-z0-9_])(?:client|account|user|access|key|app|tenant)[_-](?:id|key|name)[\"']?\\x20*+[:=]\\x20*+[\"']?[a-z0-9_.@-]{4,}+)", IDENTITY),
+    "account": ("(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\\.[A-Za-z0-9.-]*[A-Za-z0-9]", IDENTITY),
+    "endpoint": ("(?i:(?<![a-z0-9_])(?:https?|amqps?|postgres(?:ql)?|mysql|mongodb|redis)://[a-z0-9.:-]++)|(?<![0-9.])[0-9]{1,3}(?:\\.[0-9]{1,3}){3}(?::[0-9]{1,5})?(?![0-9.]*[0-9])", PLACE),
+}
+
+#: Code points between two parts of one credential, at most: this bounds a scope, not a text.
 SCOPE = 200
 
-IDENTITY, SECRET, PLACE = 0, 1, 2
+NOTHING = "cast(array() as array<struct<s:int,k:int,e:int,kind:string>>)"
 
 
-def scan_columns(text: Column) -> dict[str, Column]:
-    """Base spans and weak parts of a text. Cheap containment tests come before the patterns."""
-    none = F.expr("cast(array() as array<struct<s:int,e:int,t:string>>)")
-    when = lambda test, spans: F.when(test, spans).otherwise(none)
-    value = lambda t: F.regexp_extract(t, ASSIGN, 2)
+def base_columns(text: Column) -> dict[str, Column]:
+    """Base spans of a text. Cheap containment tests come before the patterns."""
+    when = lambda test, spans: F.when(test, spans).otherwise(NO_SPANS())
     names = let(F.lower(text), lambda t: reduce(lambda a, b: a | b, (F.contains(t, F.lit(n)) for n in NAMES)))
     return {
-        "assign": F.filter(when(names, find_spans(text, ASSIGN)), lambda x: F.length(value(x["t"])) >= 6),
+        "assign": F.filter(when(names, find_spans(text, ASSIGN)), lambda x: F.length(F.regexp_extract(x["t"], ASSIGN, 2)) >= 6),
         "access": when(F.contains(text, F.lit("AKIA")), find_spans(text, ACCESS)),
         "hex": when(F.rlike(text, F.lit("[0-9a-f]{24}")), find_spans(text, HEX)),
-        "token": F.filter(
-            when(F.rlike(text, F.lit("[0-9]")), find_spans(text, TOKEN)),
-            lambda x: F.rlike(x["t"], F.lit("[0-9]")) & F.rlike(x["t"], F.lit("[a-z]")) & F.rlike(x["t"], F.lit("[A-Z]")),
-        ),
-        "identifier": when(F.rlike(text, F.lit("[_-](?:[Ii][Dd]|[Kk][Ee][Yy]|[Nn][Aa][Mm][Ee])")), find_spans(text, IDENTIFIER)),
-        "endpoint": when(F.contains(text, F.lit("://")), find_spans(text, ENDPOINT)),
     }
 
 
+def weak_columns(text: Column) -> dict[str, Column]:
+    """Weak parts of a text, each kind leftmost and non-overlapping in what the base patterns leave."""
+    likely = {
+        "secret": F.rlike(text, F.lit("(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+")),
+        "identifier": F.rlike(text, F.lit("[_-](?:[Ii][Dd]|[Kk][Ee][Yy]|[Nn][Aa][Mm][Ee])")),
+        "account": F.contains(text, F.lit("@")),
+        "endpoint": F.contains(text, F.lit("://")) | F.rlike(text, F.lit("[0-9]\\.[0-9]")),
+    }
+    out = {}
+    for kind, (pattern, _) in WEAK.items():
+        spans = F.filter(find_spans(text, f"{BASE}|(?:{pattern})"), lambda x: ~F.rlike(x["t"], F.lit(f"^{BASE}")))
+        if kind == "secret":
+            spans = F.filter(spans, lambda x: F.rlike(x["t"], F.lit("[0-9]")) & F.rlike(x["t"], F.lit("[a-z]")) & F.rlike(x["t"], F.lit("[A-Z]")))
+        out[kind] = F.when(likely[kind], spans).otherwise(NO_SPANS())
+    return out
+
+
 def _part(spans: Column, rank: int, kind: str, type_: int, weak: bool) -> Column:
     return F.transform(
         spans,
@@ -69,50 +84,45 @@ def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sc
 
     Null texts count as empty and have no spans; null ids stay null. Rows that repeat an id or a text each keep their
     own row; the parts of equal (id, text) rows are linked once. An empty table gives no rows. Other columns are not
-    read. Base spans may overlap spans of other kinds; a weak part inside a base span is not reported again.
+    read. Base spans may overlap spans of other kinds; weak parts never start inside what a base pattern takes.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     found = docs.select(F.col(doc_id).alias("doc_id"), body.alias("body")).select(
-        "doc_id", "body", *(c.alias(k) for k, c in scan_columns(F.col("body")).items())
+        "doc_id", "body", *(c.alias(k) for k, c in base_columns(F.col("body")).items()), *(c.alias(f"weak_{k}") for k, c in weak_columns(F.col("body")).items())
     )
-    inside = lambda x, base: F.exists(base, lambda b: (b["s"] <= x["s"]) & (x["e"] <= b["e"]))
-    outer = F.concat("assign", "access", "hex")
-    weak = lambda c: F.when(F.size(c) > 0, let(outer, lambda o: F.filter(F.col(c), lambda x: ~inside(x, o)))).otherwise(F.col(c))
+    strong = [(k, t) for k, t in (("assign", SECRET), ("access", IDENTITY), ("hex", SECRET))]
     parts = F.concat(
-        _part(F.col("assign"), 0, "assign", SECRET, False),
-        _part(F.col("access"), 1, "access", IDENTITY, False),
-        _part(F.col("hex"), 2, "hex", SECRET, False),
-        _part(weak("token"), 3, "secret", SECRET, True),
-        _part(weak("identifier"), 4, "identifier", IDENTITY, True),
-        _part(weak("endpoint"), 5, "endpoint", PLACE, True),
+        *(_part(F.col(k), i, k, t, False) for i, (k, t) in enumerate(strong)),
+        *(_part(F.col(f"weak_{k}"), i, k, t, True) for i, (k, (_, t)) in enumerate(WEAK.items(), len(strong))),
     )
-    scanned = found.select(
-        "doc_id",
-        F.size("assign").cast("bigint").alias("n_assign"),
-        F.size("access").cast("bigint").alias("n_access"),
-        F.size("hex").cast("bigint").alias("n_hex"),
-        F.concat(tagged(F.col("assign"), 0, "assign"), tagged(F.col("access"), 1, "access"), tagged(F.col("hex"), 2, "hex")).alias("base"),
-        let(
-            parts,
-            lambda p: F.when(
-                F.exists(p, lambda x: x["weak"])
-                & F.exists(p, lambda x: x["type"] == SECRET)
-                & F.exists(p, lambda x: x["type"] != SECRET),
-                p,
-            ),
-        ).alias("parts"),
-        F.xxhash64("body").alias("body_key"),
+    scanned = write_table(
+        found.select(
+            "doc_id",
+            *(F.size(k).cast("bigint").alias(f"n_{k}") for k, _ in strong),
+            F.concat(*(tagged(F.col(k), i, k) for i, (k, _) in enumerate(strong))).alias("base"),
+            let(
+                parts,
+                lambda p: F.when(
+                    F.exists(p, lambda x: x["weak"])
+                    & F.exists(p, lambda x: x["type"] == SECRET)
+                    & F.exists(p, lambda x: x["type"] != SECRET),
+                    p,
+                ),
+            ).alias("parts"),
+            F.sha2("body", 256).alias("body_key"),
+        ),
+        "secret-scan",
     )
-    scanned = write_table(scanned, "secret-scan")
     linked = link_parts(scanned.where("parts is not null").select("doc_id", "body_key", "parts").dropDuplicates(["doc_id", "body_key"]), scope)
-    alone = scanned.where("parts is null").withColumn("more", F.expr("cast(array() as array<struct<s:int,k:int,e:int,kind:string>>)"))
+    alone = scanned.where("parts is null").withColumn("more", F.expr(NOTHING))
     with_parts = scanned.where("parts is not null").alias("a").join(
         linked.alias("b"), F.expr("a.doc_id <=> b.doc_id and a.body_key = b.body_key"), "left"
-    ).select("a.*", F.coalesce("b.more", F.expr("cast(array() as array<struct<s:int,k:int,e:int,kind:string>>)")).alias("more"))
+    ).select("a.*", F.coalesce("b.more", F.expr(NOTHING)).alias("more"))
     return alone.unionByName(with_parts).select(
-        "doc_id", "n_assign", "n_access", "n_hex",
+        "doc_id", *(f"n_{k}" for k, _ in strong),
         sha_hex(joined(F.col("base"))).alias("base_sha256"),
         joined(F.concat("base", "more")).alias("spans"),
+        F.size("more").cast("bigint").alias("n_linked"),
     )
 
 
