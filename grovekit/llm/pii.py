@@ -1,16 +1,17 @@
 """Personal data by bootstrapped contextual extraction, on DataFrame functions only.
 
-Seeds are the base spans (email, ip, card, phone). The words before a seed form a lexical pattern. Patterns and the
-identifier-like tokens that follow them make a graph; a few rounds of scoring move trust from known tokens to patterns
-and from trusted patterns to unseen tokens, which are reported as kind id.
+Seeds are the base spans (email, ip, card, phone). The words before a seed form a lexical pattern, and so do the words after it.
+Patterns and the identifier-like tokens beside them make a graph; rounds of scoring move trust from known tokens to patterns
+and from trusted patterns to unseen tokens, until nothing changes. Those tokens are reported as kind id.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import drop_table, find_spans, joined, sha_hex, tagged, write_table
+from .common import NO_SPANS, drop_table, find_spans, joined, sha_hex, tagged, write_table
 
 # The base patterns, over texts in which inner() has marked the separators.
 MARK, OTHER = "\u0001", "\u0002"
@@ -19,12 +20,30 @@ IP = "(?<![0-9])[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++"
 CARD = f"[0-9][0-9{MARK}]{{11,}}+"
 PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
 
-#: An identifier-like token: six or more letters, digits and joiners, at least four of them digits.
-CANDIDATE = "(?<![^\\s\"'(\\[<:=#])(?=[A-Za-z._/-]{0,12}[0-9])[A-Za-z0-9][A-Za-z0-9._/-]{4,}+"
-CONTEXT = 48
+#: An identifier-like token: five or more letters, digits and joiners, at least four of them digits.
+CANDIDATE = "(?<![^\\s\"'(\\[<:=#])(?=[A-Za-z._/-]*+[0-9])[A-Za-z0-9][A-Za-z0-9._/-]{4,}+"
 
-#: Rounds of scoring; a pattern needs this many distinct known tokens and this share of all that follow it.
-ROUNDS, MIN_SUPPORT, MIN_CONFIDENCE = 3, 3, 0.6
+#: Lexical patterns: the two words that end right before a token, and the two that begin right after it. Words are whole
+#: runs of letters, however long.
+LEFT = "(?<![\\p{L}#])([\\p{L}#]++[\\x20:=]{1,3}[\\p{L}#]++[\\x20:=.#(\"']{1,4})$"
+RIGHT = "^([\\x20,;:)\"'-]{1,4}[\\p{L}#]++[\\x20:=]{1,3}[\\p{L}#]++)"
+
+#: A pattern needs this many distinct trusted tokens and this mean trust of all distinct tokens beside it.
+MIN_SUPPORT, MIN_CONFIDENCE = 3, 0.6
+
+NOTHING = "cast(array() as array<struct<s:int,k:int,e:int,kind:string>>)"
+
+
+def contexts(before: Column, after: Column) -> tuple[Column, Column]:
+    """Patterns on either side of a token, lower-cased, empty where there aren't two words; before and after reach to the
+    neighbouring tokens of the kind."""
+    return (
+        F.lower(F.regexp_extract(before, LEFT, 1)).alias("left"),
+        F.lower(F.regexp_extract(after, RIGHT, 1)).alias("right"),
+    )
+
+
+SIDES = ",left:string,right:string"
 
 
 def inner(text: Column, before: str, separators: str, after: str) -> Column:
@@ -58,108 +77,105 @@ def low_octets(t: Column) -> Column:
 
 
 def base_columns(text: Column) -> dict[str, Column]:
-    none = F.expr("cast(array() as array<struct<s:int,e:int,t:string>>)")
-    when = lambda test, spans: F.when(test, spans).otherwise(none)
+    """Base spans with the patterns beside them."""
+    when = lambda test, spans: F.when(test, spans).otherwise(NO_SPANS(SIDES))
+    find = lambda t, pattern: find_spans(t, pattern, contexts, SIDES)
     digits = lambda t: F.length(F.regexp_replace(t, "[^0-9]", ""))
     label = "[A-Za-z0-9-]"
     return {
-        "email": when(F.contains(text, F.lit("@")), find_spans(inner(text, label, "\\.", label), EMAIL)),
-        "ip": F.filter(when(F.rlike(text, F.lit("[0-9]\\.[0-9]")), find_spans(text, IP)), lambda x: low_octets(x["t"])),
+        "email": when(F.contains(text, F.lit("@")), find(inner(text, label, "\\.", label), EMAIL)),
+        "ip": F.filter(when(F.rlike(text, F.lit("[0-9]\\.[0-9]")), find(text, IP)), lambda x: low_octets(x["t"])),
         "card": F.filter(
-            when(F.rlike(text, F.lit("[0-9](?:[ -]?[0-9]){11}")), find_spans(inner(text, "[0-9]", "[ -]", "[0-9]"), CARD)),
+            when(F.rlike(text, F.lit("[0-9](?:[ -]?[0-9]){11}")), find(inner(text, "[0-9]", "[ -]", "[0-9]"), CARD)),
             lambda x: luhn(x["t"]),
         ),
-        "phone": F.filter(when(F.rlike(text, F.lit("\\+[0-9]")), find_spans(text, PHONE)), lambda x: digits(x["t"]).between(9, 15)),
+        "phone": F.filter(when(F.rlike(text, F.lit("\\+[0-9]")), find(text, PHONE)), lambda x: digits(x["t"]).between(9, 15)),
     }
 
 
 def candidates(text: Column) -> Column:
-    """Identifier-like tokens with the two words before them."""
-    seen = F.filter(
-        F.when(F.rlike(text, F.lit("[0-9]")), find_spans(text, CANDIDATE)).otherwise(F.expr("cast(array() as array<struct<s:int,e:int,t:string>>)")),
-        lambda x: F.length(F.regexp_replace(x["t"], "[^0-9]", "")) >= 4,
-    )
+    """Identifier-like tokens without the joiners at their ends, and the patterns beside them."""
+    digits = lambda t: F.length(F.regexp_replace(t, "[^0-9]", ""))
+    seen = F.when(F.rlike(text, F.lit("[0-9]")), find_spans(text, CANDIDATE, contexts, SIDES)).otherwise(NO_SPANS(SIDES))
+    bare = lambda t: F.regexp_extract(t, "^(.*[A-Za-z0-9])", 1)
     return F.transform(
-        seen,
+        F.filter(seen, lambda x: digits(x["t"]) >= 4),
         lambda x: F.struct(
-            x["s"].alias("s"),
-            (x["s"] + F.length(F.regexp_replace(x["t"], "[^A-Za-z0-9]+$", ""))).alias("e"),
-            F.regexp_replace(x["t"], "[^A-Za-z0-9]+$", "").alias("t"),
+            x["s"].alias("s"), (x["s"] + F.length(bare(x["t"]))).alias("e"), bare(x["t"]).alias("t"), x["left"].alias("left"), x["right"].alias("right")
         ),
-    )
-
-
-def context(text: Column, start: Column) -> Column:
-    """The two words before an offset, lower-cased, or null where there are fewer."""
-    left = F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))
-    return F.lower(F.regexp_extract(left, "([\\p{L}#]+[\\x20:=]{1,3}[\\p{L}#]+[\\x20:=.#(\"']{1,4})$", 1))
+    )
 
 
-def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
-    """One row for each input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: int | None = None) -> DataFrame:
+    """One row for each input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found.
 
     Null texts count as empty and have no spans; null ids stay null. Rows that repeat an id or a text each keep their
     own row. An empty table gives no rows. Other columns are not read. Discovered tokens have kind id; one that overlaps
-    a base span is not reported.
+    a base span is not reported. rounds bounds the rounds of scoring; None goes on until nothing changes.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     found = docs.select(F.col(doc_id).alias("doc_id"), body.alias("body")).select(
         "doc_id", "body", *(c.alias(k) for k, c in base_columns(F.col("body")).items()), candidates(F.col("body")).alias("cand")
     )
     kinds = ("email", "ip", "card", "phone")
     base = F.concat(*(tagged(F.col(k), i, k) for i, k in enumerate(kinds)))
+    mark = lambda seed: lambda x: F.struct(x["s"], x["e"], F.lower(x["t"]).alias("t"), x["left"], x["right"], F.lit(seed).alias("seed"))
     scanned = found.select(
-        "doc_id", "body", *(F.size(k).cast("bigint").alias(f"n_{k}") for k in kinds), base.alias("base"), "cand",
-        F.concat(*(F.col(k) for k in kinds)).alias("seeds"),
-    ).select(
-        "doc_id", *(f"n_{k}" for k in kinds), "base", F.xxhash64("body").alias("body_key"),
-        F.concat(
-            F.transform("seeds", lambda x: F.struct(x["s"], x["e"], F.lower(x["t"]).alias("t"), context(F.col("body"), x["s"]).alias("p"), F.lit(True).alias("seed"))),
-            F.transform(
-                F.filter("cand", lambda x: ~F.exists("seeds", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))),
-                lambda x: F.struct(x["s"], x["e"], F.lower(x["t"]).alias("t"), context(F.col("body"), x["s"]).alias("p"), F.lit(False).alias("seed")),
-            ),
-        ).alias("marks"),
+        "doc_id", *(F.size(k).cast("bigint").alias(f"n_{k}") for k in kinds), base.alias("base"),
+        F.when(F.size("cand") + F.size(base) > 0, F.sha2("body", 256)).alias("body_key"),
+        F.concat(F.transform(F.concat(*kinds), mark(True)), F.transform("cand", mark(False))).alias("marks"),
     )
     scanned = write_table(scanned, "pii-scan")
     marks = scanned.where("size(marks) > 0").select("doc_id", "body_key", F.explode("marks").alias("m")).select("doc_id", "body_key", "m.*")
+    marks = marks.dropDuplicates(["doc_id", "body_key", "s", "e", "seed"])
+    # candidates that overlap a seed are the seed's: the latest end of the seeds that begin before a mark's end
+    within, upto = W.partitionBy("doc_id", "body_key"), (W.unboundedPreceding, -1)
+    reach = F.max(F.when(F.col("seed"), F.col("e"))).over(within.orderBy("s", F.desc("seed")).rowsBetween(*upto))
+    ahead = F.min(F.when(F.col("seed"), F.col("s"))).over(within.orderBy(F.desc("s"), "seed").rowsBetween(*upto))
+    free = marks.withColumn("reach", reach).withColumn("ahead", ahead).where("seed or (coalesce(reach, -1) <= s and coalesce(ahead, e) >= e)").drop("reach", "ahead")
+    free = write_table(free.where("left <> '' or right <> ''"), "pii-marks")
+    beside = free.select(
+        "doc_id", "body_key", "s", "e", "t", "seed",
+        F.explode(F.array(F.concat(F.lit("<"), "left"), F.concat(F.lit(">"), "right"))).alias("p"),
+    ).where("length(p) > 1")
     # the graph has an edge for each pattern and distinct token; a pattern or token that is in many rows is summed first
-    edges = write_table(marks.where("p <> ''").groupBy("p", "t").agg(F.max("seed").alias("seed")), "pii-edges")
+    edges = write_table(beside.groupBy("p", "t").agg(F.max("seed").alias("seed")), "pii-edges")
     trusted = bootstrap(edges, rounds)
-    known = marks.where("not seed and p <> ''").join(trusted, ["p", "t"], "left_semi")
+    known = beside.where("not seed").join(trusted, ["p", "t"], "left_semi")
     more = known.groupBy("doc_id", "body_key").agg(
         F.collect_set(F.struct("s", F.lit(len(kinds)).alias("k"), "e", F.lit("id").alias("kind"))).alias("more")
     )
-    nothing = F.expr("cast(array() as array<struct<s:int,k:int,e:int,kind:string>>)")
     has = F.exists("marks", lambda m: ~m["seed"])
-    plain = scanned.where(~has).withColumn("more", nothing)
+    plain = scanned.where(~has).withColumn("more", F.expr(NOTHING))
     rest = scanned.where(has).alias("a").join(more.alias("b"), F.expr("a.doc_id <=> b.doc_id and a.body_key = b.body_key"), "left").select(
-        "a.*", F.coalesce("b.more", nothing).alias("more")
+        "a.*", F.coalesce("b.more", F.expr(NOTHING)).alias("more")
     )
     return plain.unionByName(rest).select(
         "doc_id", *(f"n_{k}" for k in kinds),
         sha_hex(joined(F.col("base"))).alias("base_sha256"),
         joined(F.concat("base", "more")).alias("spans"),
+        F.size("more").cast("bigint").alias("n_found"),
     )
 
 
-def bootstrap(edges: DataFrame, rounds: int) -> DataFrame:
-    """p, t: pairs of a pattern and an unseen token to be reported.
+def bootstrap(edges: DataFrame, rounds: int | None) -> DataFrame:
+    """p, t: pairs of a trusted pattern and an unseen token beside it.
 
-    A pattern's confidence is the mean trust of the distinct tokens that follow it; it counts once MIN_SUPPORT tokens
-    are trusted. A token's trust is that of its best pattern. Seeds are trusted fully, others not at first.
+    A pattern's confidence is the mean trust of the distinct tokens beside it; it counts once MIN_SUPPORT of them are
+    trusted. An unseen token gets its trust when a pattern of that kind first meets it: the confidence of the best one.
+    Seeds are trusted fully, others not at first. Trust only grows, token by token, so that the rounds come to an end.
     """
-    state = edges.select("p", "t", "seed", F.col("seed").cast("double").alias("trust"))
-    for _ in range(rounds):
-        patterns = state.groupBy("p").agg(F.avg("trust").alias("confidence"), F.sum(F.expr("cast(trust >= 0.5 as int)")).alias("support"))
-        good = patterns.where(f"support >= {MIN_SUPPORT} and confidence >= {MIN_CONFIDENCE}").select("p", "confidence")
-        tokens = state.join(good, "p").groupBy("t").agg(F.max("confidence").alias("best"))
-        following = write_table(
-            edges.join(tokens, "t", "left").select("p", "t", "seed", F.expr("case when seed then 1.0D else coalesce(best, 0.0D) end").alias("trust")),
-            "pii-trust",
-        )
-        drop_table(state)
-        state = following
-    patterns = state.groupBy("p").agg(F.avg("trust").alias("confidence"), F.sum(F.expr("cast(trust >= 0.5 as int)")).alias("support"))
-    good = patterns.where(f"support >= {MIN_SUPPORT} and confidence >= {MIN_CONFIDENCE}").select("p")
-    return state.where("not seed").join(good, "p", "left_semi").select("p", "t")
+    trust = write_table(edges.where("seed").select("t", F.lit(1.0).alias("trust")).distinct(), "pii-trust")
+    while True:
+        state = edges.join(trust, "t", "left")
+        patterns = state.groupBy("p").agg((F.sum(F.coalesce("trust", F.lit(0.0))) / F.count("*")).alias("confidence"), F.count("trust").alias("support"))
+        good = write_table(patterns.where(f"support >= {MIN_SUPPORT} and confidence >= {MIN_CONFIDENCE}").select("p", "confidence"), "pii-patterns")
+        fresh = edges.join(good, "p").groupBy("t").agg(F.max("confidence").alias("trust")).join(trust.select("t"), "t", "left_anti")
+        following = write_table(trust.unionByName(fresh), "pii-trust")
+        more = following.count() > trust.count()
+        rounds = rounds - 1 if rounds is not None else None
+        drop_table(trust)
+        trust = following
+        if not more or rounds == 0:
+            return edges.where("not seed").join(good.select("p"), "p", "left_semi").select("p", "t")
+        drop_table(good)
