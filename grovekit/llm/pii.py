@@ -24,12 +24,16 @@ PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
 CANDIDATE = "(?<![^\\s\"'(\\[<:=#])(?=[A-Za-z._/-]*+[0-9])[A-Za-z0-9][A-Za-z0-9._/-]{4,}+"
 
 #: Lexical patterns: the two words that end right before a token, and the two that begin right after it. Words are whole
-#: runs of letters, however long.
-LEFT = "(?<![\\p{L}#])([\\p{L}#]++[\\x20:=]{1,3}[\\p{L}#]++[\\x20:=.#(\"']{1,4})$"
-RIGHT = "^([\\x20,;:)\"'-]{1,4}[\\p{L}#]++[\\x20:=]{1,3}[\\p{L}#]++)"
+#: runs of letters, however long; what stands between them doesn't count.
+WORD = "[\\p{L}#]++"
+LEFT = f"(?<![\\p{{L}}#])({WORD}[\\x20:=]{{1,3}}{WORD})[\\x20:=.#(\"']{{1,4}}$"
+RIGHT = f"^[\\x20,;:)\"'-]{{1,4}}({WORD}[\\x20:=]{{1,3}}{WORD})"
 
-#: A pattern needs this many distinct trusted tokens and this mean trust of all distinct tokens beside it.
-MIN_SUPPORT, MIN_CONFIDENCE = 3, 0.6
+#: A pattern needs this many distinct trusted tokens, this mean trust of all distinct tokens beside it, and has to stand
+#: beside a token in this share of its occurrences in all texts: word pairs of plain prose don't.
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_SHARE = 3, 0.6, 0.1
+#: Patterns that a broadcast may hold (about 30 bytes each); beyond that a merge join takes its place.
+BROADCAST_PATTERNS = 200_000
 
 NOTHING = "cast(array() as array<struct<s:int,k:int,e:int,kind:string>>)"
 
@@ -37,10 +41,8 @@ NOTHING = "cast(array() as array<struct<s:int,k:int,e:int,kind:string>>)"
 def contexts(before: Column, after: Column) -> tuple[Column, Column]:
     """Patterns on either side of a token, lower-cased, empty where there aren't two words; before and after reach to the
     neighbouring tokens of the kind."""
-    return (
-        F.lower(F.regexp_extract(before, LEFT, 1)).alias("left"),
-        F.lower(F.regexp_extract(after, RIGHT, 1)).alias("right"),
-    )
+    pair = lambda c, pattern: F.regexp_replace(F.lower(F.regexp_extract(c, pattern, 1)), "[\\x20:=]+", " ")
+    return pair(before, LEFT).alias("left"), pair(after, RIGHT).alias("right")
 
 
 SIDES = ",left:string,right:string"
@@ -139,8 +141,8 @@ def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds
         F.explode(F.array(F.concat(F.lit("<"), "left"), F.concat(F.lit(">"), "right"))).alias("p"),
     ).where("length(p) > 1")
     # the graph has an edge for each pattern and distinct token; a pattern or token that is in many rows is summed first
-    edges = write_table(beside.groupBy("p", "t").agg(F.max("seed").alias("seed")), "pii-edges")
-    trusted = bootstrap(edges, rounds)
+    edges = write_table(beside.groupBy("p", "t").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "pii-edges")
+    trusted = bootstrap(specific(edges, docs.select(body.alias("body"))), rounds)
     known = beside.where("not seed").join(trusted, ["p", "t"], "left_semi")
     more = known.groupBy("doc_id", "body_key").agg(
         F.collect_set(F.struct("s", F.lit(len(kinds)).alias("k"), "e", F.lit("id").alias("kind"))).alias("more")
@@ -158,6 +160,20 @@ def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds
     )
 
 
+def specific(edges: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The edges of patterns that can reach the support and of whose occurrences in all texts MIN_SHARE have a token."""
+    wide = write_table(edges.groupBy("p").agg(F.count("*").alias("support"), F.sum("n").alias("n")).where(f"support >= {MIN_SUPPORT}").select("p", "n", F.substring("p", 2, 1 << 30).alias("pair")), "pii-wide")
+    n_wide = wide.count()
+    if not n_wide:
+        return edges.limit(0)
+    words = bodies.select(F.regexp_extract_all(F.lower("body"), F.lit(WORD), F.lit(0)).alias("w")).where("size(w) > 1")
+    pairs = words.select(F.explode(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).alias("pair"))
+    asked = wide.select("pair").distinct()
+    met = pairs.join(F.broadcast(asked) if n_wide <= BROADCAST_PATTERNS else asked.hint("merge"), "pair", "left_semi")
+    good = wide.join(met.groupBy("pair").agg(F.count("*").alias("all")), "pair").where(f"n >= {MIN_SHARE} * all").select("p")
+    return write_table(edges.join(good, "p", "left_semi"), "pii-specific")
+
+
 def bootstrap(edges: DataFrame, rounds: int | None) -> DataFrame:
     """p, t: pairs of a trusted pattern and an unseen token beside it.
 
