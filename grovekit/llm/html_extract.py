@@ -25,48 +25,112 @@ from .common import prepare
 # Kinds of elements.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template svg iframe math object select button xmp".split())
+RAW = frozenset("script style textarea title xmp".split())
+HIDDEN = frozenset("button select svg math object iframe template noscript".split())
+FLAT = frozenset("button select iframe".split())  # these hold none of their own kind
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SELF_CLOSING = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+#: A quoted value ends at its quote only where a tag may go on after it; else the quote is a character like others.
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"(?=[\s/>])|'[^']*+'(?=[\s/>])|[\"'])*+)>", re.S)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+HIDDEN_TAG = re.compile(rf"<(/?)({'|'.join(sorted(HIDDEN))})(?=[\s/>])[^>]*+>", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+class Element:
+    """An open block-level element: its tag, and the features of itself and all its ancestors. Features that the field
+    doesn't know aren't kept, so that their number doesn't follow the depth."""
+
+    __slots__ = ("tag", "features", "children", "score")
+
+    def __init__(self, tag: str, features: dict[str, None]):
+        self.tag, self.features, self.children, self.score = tag, features, {}, None
+
+    def child(self, tag: str, attributes: str, known) -> Element:
+        found = self.children.get((tag, attributes))
+        if found is None:
+            new = [f"tag={tag}", *(f"word={w.lower()}" for w in WORD.findall(attributes))]
+            if self.tag and tag in PAIRED:
+                new.append(f"pair={self.tag}>{tag}")
+            new = [f for f in new if f not in self.features and (known is None or f in known)]
+            found = self.children[tag, attributes] = Element(tag, {**self.features, **dict.fromkeys(new)} if new else self.features)
+        return found
+
+
+PAIRED = frozenset("ul p div li header footer".split())
+
+
 @dataclass
 class Block:
     text: str
     linked: int
-    path: tuple[tuple[str, str], ...]
+    element: Element
+
+
+def hidden_ends(page: str) -> set[int]:
+    """Places of the start tags of hidden elements that have their end tag."""
+    out, opened = set(), defaultdict(list)
+    for m in HIDDEN_TAG.finditer(page):
+        name, stack = m[2].lower(), opened[m[2].lower()]
+        if not m[1]:
+            if name in FLAT:
+                stack.clear()
+            if not m[0].endswith("/>"):
+                stack.append(m.start())
+        elif stack:
+            out.add(stack.pop())
+    return out
 
 
-def blocks(page: str) -> list[Block]:
-    """Leaf blocks of a page in its order, white space as single spaces, empty ones left out."""
-    out, stack, pieces, linked, end = [], [], [], 0, 0
-    anchors = 0
-    path: tuple | None = ()
+def blocks(page: str, known=None) -> list[Block]:
+    """Leaf blocks of a page in its order, white space as single spaces, empty ones left out. Elements end with their own
+    end tag or with an ancestor's. Text in hidden elements is no block; one without an end tag ends at the next block-level
+    tag, so that it hides nothing of the page. A textarea or title without an end tag hides nothing either."""
+    out, pieces, linked, end, anchors, hidden = [], [], 0, 0, 0, 0
+    root = Element("", {"bias": None})
+    stack: list[tuple[str, Element, str]] = []  # name, nearest block-level element, "" or how it hides: closed or loose
+    opened: defaultdict[str, int] = defaultdict(int)
+    ends = None
+    endless: set[str] = set()
+    loose: list[int] = []  # places in the stack
 
     def close():
         nonlocal linked
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append(Block(text, linked, tuple((t, a) for t, a in stack if t not in INLINE)))
+                out.append(Block(text, linked, stack[-1][1] if stack else root))
             pieces.clear()
         linked = 0
 
     def add(raw: str):
         nonlocal linked
+        if hidden or loose:
+            return
         text = html.unescape(raw) if "&" in raw else raw
         pieces.append(text)
         if anchors:
             linked += len(text)
 
     def pop(k: int):
-        nonlocal anchors
-        anchors -= sum(t == "a" for t, _ in stack[k:])
+        nonlocal anchors, hidden
+        for name, _, hides in stack[k:]:
+            opened[name] -= 1
+            anchors -= name == "a"
+            hidden -= hides == "closed"
         del stack[k:]
+        while loose and loose[-1] >= k:
+            loose.pop()
+
+    def imply(name: str, stops) -> None:
+        """Closes an open element of this name unless a boundary stands between."""
+        if opened[name]:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == name:
+                    return pop(k)
+                if stack[k][0] in stops or stack[k][2]:
+                    return None
 
     m = MARKUP.search(page)
     while m:
@@ -76,36 +140,59 @@ def blocks(page: str) -> list[Block]:
         name = m[2]
         if name:
             name = name.lower()
+            whole = not m[3].endswith("/")
             if m[1]:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        if any(t not in INLINE for t, _ in stack[k:]):
-                            close()
-                        pop(k)
-                        break
-                else:
-                    if name not in INLINE:
+                if opened[name]:
+                    k = len(stack) - 1
+                    while stack[k][0] != name:
+                        k -= 1
+                    if any(t not in INLINE for t, _, _ in stack[k:]):
                         close()
-            elif name in RAW and not m[3].endswith("/"):
-                found = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, end)
-                if name not in ("title", "script", "style"):
+                    pop(k)
+                elif name not in INLINE and name not in HIDDEN:
+                    close()
+            elif name in RAW and whole:
+                found = None if name in endless else re.compile(rf"</{name}\s*>", re.I).search(page, end)
+                if found:
+                    end = found.end()
+                elif name in ("script", "style"):
+                    end = len(page)
+                else:
+                    endless.add(name)
+                if name in ("textarea", "xmp"):
                     pieces.append(" ")
-                end = found.end() if found else len(page)
             elif name in VOID:
                 if name == "br":
                     pieces.append(" ")
                 elif name == "hr":
                     close()
+            elif name in HIDDEN:
+                if whole:
+                    if ends is None:
+                        ends = hidden_ends(page)
+                    pieces.append(" ")
+                    if m.start() in ends:
+                        hidden += 1
+                    else:
+                        loose.append(len(stack))
+                    stack.append((name, stack[-1][1] if stack else root, "closed" if m.start() in ends else "loose"))
+                    opened[name] += 1
             else:
                 if name not in INLINE:
+                    if loose and not hidden:
+                        pop(loose[0])
                     close()
                     if name in CLOSES_P:
-                        _imply(stack, "p", CLOSES_P - {"p"}, pop)
+                        imply("p", CLOSES_P - {"p"})
                     elif name in SELF_CLOSING:
-                        _imply(stack, name, SELF_CLOSING[name], pop)
-                if not m[3].endswith("/") or name in INLINE:
-                    attributes = " ".join(x or y or z for x, y, z in ATTRIBUTE.findall(m[3])) if m[3] else ""
-                    stack.append((name, attributes))
+                        imply(name, SELF_CLOSING[name])
+                if whole or name in INLINE:
+                    element = stack[-1][1] if stack else root
+                    if name not in INLINE:
+                        attributes = " ".join(x or y or z for x, y, z in ATTRIBUTE.findall(m[3])) if m[3] else ""
+                        element = element.child(name, attributes, known)
+                    stack.append((name, element, ""))
+                    opened[name] += 1
                     anchors += name == "a"
         m = MARKUP.search(page, end)
     add(page[end:])
@@ -113,35 +200,13 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _imply(stack: list, name: str, stops: Iterable[str], pop) -> None:
-    """Closes an open element of this name unless a boundary stands between."""
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] == name:
-            pop(k)
-            return
-        if stack[k][0] in stops:
-            return
-
-
-@functools.lru_cache(20_000)
-def path_features(path: tuple[tuple[str, str], ...]) -> tuple[str, ...]:
-    found = {"bias"}
-    for depth, (tag, attributes) in enumerate(reversed(path)):
-        found.add(f"tag={tag}")
-        if depth == 0:
-            found.add(f"own={tag}")
-        for w in WORD.findall(attributes):
-            found.add(f"word={w.lower()}")
-    found.update(f"pair={a}>{b}" for (a, _), (b, _) in zip(path, path[1:], strict=False) if b in ("ul", "p", "div", "li", "header", "footer"))
-    return tuple(sorted(found))
-
-
 def block_features(b: Block, place: float) -> tuple[str, ...]:
+    """Features of a block beside those of its element."""
     n = len(b.text)
     words = b.text.count(" ") + 1
     share = b.linked / n
     return (
-        *path_features(b.path),
+        f"own={b.element.tag}",
         f"words={min(words.bit_length(), 7)}",
         f"linked={'all' if share > 0.8 else 'some' if share > 0.3 else 'none'}",
         f"stop={b.text[-1] in '.!?:;…»”\"'}",
@@ -160,12 +225,17 @@ class Field:
 
     def emissions(self, found: list[Block]) -> np.ndarray:
         out = np.zeros((len(found), 2))
-        get, n = self.index.get, len(found)
+        n = len(found)
         for i, b in enumerate(found):
-            ids = [k for f in block_features(b, i / n) if (k := get(f)) is not None]
-            out[i] = self.weights[ids].sum(0)
+            if b.element.score is None:
+                b.element.score = self._sum(b.element.features)
+            out[i] = b.element.score + self._sum(block_features(b, i / n))
         return out
 
+    def _sum(self, features: Iterable[str]) -> np.ndarray:
+        get = self.index.get
+        return self.weights[[k for f in features if (k := get(f)) is not None]].sum(0)
+
     def decode(self, found: list[Block]) -> list[bool]:
         """Viterbi: whether each block is of the main text."""
         if not found:
@@ -187,7 +257,7 @@ class Field:
 def train_field(pages: list[tuple[list[Block], list[int]]], rounds: int = 12, rate: float = 0.3, ridge: float = 1e-4) -> Field:
     """Adaptive gradient ascent on the log-likelihood; expectations by forward-backward."""
     index: dict[str, int] = defaultdict(lambda: len(index))
-    coded = [([[index[f] for f in block_features(b, i / len(bs))] for i, b in enumerate(bs)], np.array(ys)) for bs, ys in pages if bs]
+    coded = [([[index[f] for f in (*b.element.features, *block_features(b, i / len(bs)))] for i, b in enumerate(bs)], np.array(ys)) for bs, ys in pages if bs]
     w, moves = np.zeros((len(index), 2)), np.zeros((2, 2))
     seen_w, seen_m = np.full(w.shape, 1e-8), np.full((2, 2), 1e-8)
     order = random.Random(11)
@@ -336,7 +406,7 @@ def trained_field(pages: int = 700) -> Field:
 
 
 def main_text(page: str | None, field: Field) -> str:
-    found = blocks(page) if page else []
+    found = blocks(page, field.index) if page else []
     return " ".join(b.text for b, main in zip(found, field.decode(found), strict=True) if main)
 
 

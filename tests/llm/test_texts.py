@@ -1,9 +1,12 @@
 """Classifier, extraction, decontamination, mixing and the pipeline."""
 
+import html
 import random
+import re
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 
 from grovekit.llm.decontaminate import find_leaks
@@ -57,6 +60,47 @@ def test_held_out_pages():
     assert right / all_words > 0.9 and right / found > 0.97
 
 
+@pytest.mark.parametrize("name", "button select svg math object iframe template noscript textarea title".split())
+def test_unclosed_elements_hide_nothing_else(name):
+    field = trained_field()
+    page = f"<article><h1>Head of it</h1><{name}>Share<p>First paragraph of the text, long enough.</p><p>A second one is here.</p></article>"
+    kept = "" if name not in ("textarea", "title") else "Share "
+    assert main_text(page, field).replace("Share ", kept) == f"Head of it {kept}First paragraph of the text, long enough. A second one is here."
+    closed = f"<article><p>One sentence <{name}>Share<p>not this</p></{name}> of the text.</p><p>And a second one.</p></article>"
+    assert "not this" not in main_text(closed, field) and "Share" not in main_text(closed, field)
+
+
+def test_unbalanced_quotes_end_with_the_tag():
+    field = trained_field()
+    assert main_text("<article><p class=\"x>Text of the paragraph is here.</p><p class=\"y\">And more of it.</p></article>", field) == "Text of the paragraph is here. And more of it."
+    assert [b.text for b in blocks("<p title='a > b' data-x=\"<p>no</p>\">yes</p>")] == ["yes"]
+
+
+def test_deep_and_long_pages():
+    field = trained_field()
+    deep = "<div class='w1 w2'>" * 20_000 + "<p>word " * 20_000
+    assert len(blocks(deep, field.index)) == 20_000
+    assert len(blocks("<span>" * 20_000 + "</b>" * 20_000 + "<button>" * 20_000 + "text")) == 0
+    long = "<article><h1>Title of it</h1>" + "<p>One sentence of the text, with some words.</p>" * 20_000 + "</article>"
+    assert main_text(long, field).count("sentence") == 20_000
+
+
+def test_pages_of_another_generator():
+    """The article of each page of the table, by its tags, and pages written by hand."""
+    field, same, n = trained_field(), 0, 0
+    for (page,) in duckdb.sql(f"select html from '{SF}/pages.parquet'").fetchall():
+        article = re.sub("<[^>]*>", "", re.sub("<br>|</?(?:p|h1)>", " ", re.search("<article>(.*)</article>", page, re.S)[1]))
+        same += " ".join(html.unescape(article).split()) == main_text(page, field)
+        n += 1
+    assert same >= 0.98 * n > 100
+    hand = """<html><body><header class="site-header"><a href="/">The Daily</a><nav><ul><li><a href="/w">World</a></li><li><a href="/s">Sport</a></li></ul></nav></header>
+    <div class="cookie-banner"><p>We use cookies on this site.</p><button>Accept</button></div><div class="container"><main><article class="story"><h1>Rain ends the match</h1>
+    <p>The match was stopped after twenty minutes, when the pitch was under water.</p><aside class="related"><h4>Read more</h4><ul><li><a href="/a">Old match</a></li></ul></aside>
+    <p>It will be played again in June, the league said on Monday.</p></article></main><div class="sidebar"><h3>Popular</h3><ul><li><a href="/p">Most read story</a></li></ul></div></div>
+    <section class="comments"><h3>2 comments</h3><div class="comment"><p>What a pity!</p></div></section><footer><p>&copy; 2024 The Daily</p></footer></body></html>"""
+    assert main_text(hand, field) == "Rain ends the match The match was stopped after twenty minutes, when the pitch was under water. It will be played again in June, the league said on Monday."
+
+
 def test_extraction_rows(spark):
     article = "<article><h1>Head line</h1><p>One &eacute;two,  three words of the text here.</p><p>And another sentence.</p></article>"
     page = f"<html><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/x'>More</a></li></ul></nav>{article}<div class='comments'><p>Nice one!</p></div><footer>&copy; 2020 site</footer></body></html>"
