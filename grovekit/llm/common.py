@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..scratch import drop_table, write_table
 from ..shipping import ship_package
 
-__all__ = ["NO_SPANS", "drop_table", "write_table", "prepare", "tables", "without_ids", "let", "find_spans", "tagged", "joined", "sha_hex"]
+__all__ = ["NO_SPANS", "drop_table", "write_table", "UPPER", "prepare", "tables", "without_ids", "let", "find_spans", "tagged", "joined", "sha_hex"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 

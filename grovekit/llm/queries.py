@@ -10,7 +10,7 @@ import corpus_pipeline
 
 from .common import tables
 from .decontaminate import find_leaks
-from .exact_dedup import exact_dedup
+from .exact_dedup import exact_dedup, index_name
 from .html_extract import extract_main_text
 from .line_dedup import line_dedup
 from .mixing import mix_sources
@@ -59,7 +59,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(tables(spark, sf_dir, "documents"))
+    return exact_dedup(tables(spark, sf_dir, "documents"), name=index_name(sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

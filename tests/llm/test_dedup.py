@@ -75,6 +75,32 @@ def test_exact_index_across_batches(spark):
     assert spark.table(index.name).count() == 3
 
 
+def test_exact_index_counts_and_retries(spark):
+    index = DigestIndex(spark, "digests_of_a_test", buckets=2)
+    try:
+        rows = lambda *ids: frame(spark, [(i, "A" if i % 2 else "a") for i in ids])
+        sizes = []
+        for batch in ((1, 2), (3, 4), (5,)):
+            sizes.append({x.group_size for x in index.append(rows(*batch)).collect()})
+        assert sizes == [{2}, {4}, {5}]
+        first = index.append(rows(5)).collect()  # the caller failed and tries again
+        assert [(x.doc_id, x.keep_id, x.group_size, x.kept) for x in first] == [(5, 2, 5, False)]
+        fresh = frame(spark, [(9, "new"), (8, "NEW"), (7, "a")])
+        batch = index.dedup(fresh)  # nothing changes before the commit
+        want = {(9, 9, 2, True), (8, 9, 2, False), (7, 2, 6, False)}
+        as_rows = lambda df: {(x.doc_id, x.keep_id, x.group_size, x.kept) for x in df.collect()}
+        assert as_rows(batch.rows) == want == as_rows(index.append(fresh)) == as_rows(index.append(fresh))
+        batch.commit()
+        spark.sql("drop table digests_of_a_test")  # another session, which knows the folder only
+        spark.sql("drop table digests_of_a_test_again")
+        index = DigestIndex(spark, "digests_of_a_test", buckets=7)
+        assert index.buckets == 2 and index.table().count() == 2
+        assert as_rows(index.append(fresh)) == want
+        assert as_rows(exact_dedup(fresh, "digests_of_a_test")) == {(9, 9, 2, True), (8, 9, 2, False), (7, 7, 1, True)}
+    finally:
+        index.drop()
+
+
 def test_exact_oracle(spark):
     documents = frame(spark, corpus(4)).toPandas()  # noqa: F841
     want = duckdb.sql(ORACLES["op10_exact_dedup"]).df().sort_values("doc_id")
