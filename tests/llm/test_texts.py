@@ -174,6 +174,39 @@ def test_exponent():
     assert solve_exponent({"a": 5, "b": 5}, Mix()) == 1.0
 
 
+def test_exponent_beyond_one_and_limits():
+    even = {"a": 50, "b": 40, "c": 45}
+    a = solve_exponent(even, Mix(entropy_share=0.7, max_epochs=1e9))
+    assert a > 1 and entropy(weights_at(even, a)) == pytest.approx(0.7 * 1.0986, abs=1e-3)
+    b = solve_exponent(even, Mix(entropy_share=0.5, max_epochs=1.2))
+    assert max(w * 135 / even[s] for s, w in weights_at(even, b).items()) == pytest.approx(1.2, abs=1e-3)
+    with pytest.raises(ValueError):
+        solve_exponent({"a": 900, "b": 100}, Mix(max_epochs=2.0, budget=9090))
+
+
+def test_mixed_texts_keep_columns(spark):
+    rows = [(i, f"text {i} of this", "a" if i % 3 else "b", i * 10, "own") for i in range(40)] + [(None, "no id", "a", 1, "own"), (None, None, "a", 1, "own")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, epoch int, `my col` string")
+    got = mixed_texts(docs).collect()
+    assert {(x.doc_id, x.text, x.doc_epoch, x["my col"]) for x in got} <= {(i, t, e, c) for i, t, _, e, c in rows}
+    taken = Counter((x.doc_id, x.epoch, x.place) for x in mix_sources(docs).collect())
+    assert taken == Counter((x.doc_id, x.epoch, x.place) for x in got) and set(taken.values()) == {1}
+
+
+def test_many_blocks_in_parts(spark, monkeypatch):
+    import grovekit.llm.mixing as m
+
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('w ', repeat('x ', cast(id % 7 as int))) as text", "'s' as source")
+    mix = Mix(block_tokens=20, budget=30_000)
+    monkeypatch.setattr(m, "PART", 16)
+    got = mix_sources(docs, mix).toPandas().sort_values("place")
+    total = int(got[got.epoch == 0].n_tokens.sum())
+    assert (got[got.epoch == 0].groupby("doc_id").size() == 1).all() and (got.epoch == 0).sum() == 3000
+    # places are the running sums: nothing overlaps and nothing is left out
+    assert (got.place * 30_000).round().astype(int).tolist() == [0, *got.n_tokens.cumsum().tolist()][:-1]
+    assert abs(got.n_tokens.sum() - 30_000) < 10 and total == sum(1 + i % 7 for i in range(3000))
+
+
 @pytest.mark.parametrize("mix", [Mix(), Mix(entropy_share=1.0, block_tokens=300), Mix(entropy_share=0.95, max_epochs=2.5, block_tokens=200, budget=9000)])
 def test_budgets(spark, mix):
     r = random.Random(9)
