@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import tables, without_ids, write_table
+from grovekit.llm.common import drop_table, tables, without_ids, write_table
 from grovekit.llm.decontaminate import find_leaks
 from grovekit.llm.line_dedup import delete_repeated_lines
 from grovekit.llm.mixing import mixed_texts
 from grovekit.llm.near_dedup import near_dedup
 from grovekit.llm.quality import fit_quality
+from grovekit.scratch import scratch_run
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again. A stage's own tables go once its
+    result is written, and so does its predecessor's result."""
     docs = tables(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = write_table(docs, f"pipeline-{name}")
+    for name, stage in STAGES:
+        with scratch_run(spark) as kept:
+            after = write_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            kept.append(after)
+        drop_table(docs)
+        docs = after
     return docs
