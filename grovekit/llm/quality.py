@@ -1,8 +1,8 @@
 """Quality classifier by compression: one zstandard dictionary of good and one of bad labelled text.
 
-A text is cut into pieces, each is compressed with both dictionaries, and the normalised difference of the total sizes
-(with the sizes against the text's own) is calibrated to a probability by logistic regression. A bounded sample of the
-labelled rows trains the dictionaries, another one the calibration; every text is scored in full.
+A text is cut into pieces, each is compressed with both dictionaries, and the difference of the total sizes, normalised by
+the text's own, is calibrated to a probability by logistic regression: it is the only input of the score. A bounded sample of
+the labelled rows trains the dictionaries on their whole texts, another one the calibration; every text is scored in full.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from .common import prepare
 from .shingles import texts
 
-#: Labelled rows of a class that train its dictionary, one piece of each; labelled rows that train the calibration.
-DICTIONARY_ROWS, CALIBRATION_ROWS = 4000, 6000
+#: Labelled rows of a class that train its dictionary, with their whole texts; labelled rows that train the calibration.
+DICTIONARY_ROWS, CALIBRATION_ROWS = 2000, 6000
 #: Bytes of a piece and of a dictionary; the compression level.
-PIECE, DICTIONARY_BYTES, LEVEL = 512, 262_144, 3
+PIECE, DICTIONARY_BYTES, LEVEL = 512, 524_288, 3
 THRESHOLD = 0.7
 
 
@@ -41,7 +41,8 @@ class Compressor:
     def __getstate__(self):
         return {"good": self.good, "bad": self.bad, "made": []}
 
-    def features(self, text: bytes) -> tuple[float, float, float, float]:
+    def difference(self, text: bytes) -> float:
+        """How much shorter the text gets with the good dictionary than with the bad one, by its own length."""
         if not self.made:
             for data in (self.good, self.bad):
                 d = zstandard.ZstdCompressionDict(data)
@@ -53,18 +54,18 @@ class Compressor:
             piece = text[i : i + PIECE]
             g += len(good(piece))
             b += len(bad(piece))
-        n = len(text) + 16
-        return (b - g) / (b + g), g / n, b / n, float(np.log(n))
+        return (b - g) / (len(text) + 16)
 
 
 @dataclass
 class QualityModel:
     compressor: Compressor | None
-    mean: np.ndarray | None = None
-    scale: np.ndarray | None = None
+    mean: float = 0.0
+    scale: float = 1.0
     weights: np.ndarray | None = None
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
+    def scores(self, rows: list[bytes | None]) -> np.ndarray:
+        x = np.array([self.compressor.difference(b or b"") for b in rows], float)
         return 1 / (1 + np.exp(-np.clip(design((x - self.mean) / self.scale) @ self.weights, -30, 30)))
 
     def score(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -84,8 +85,7 @@ class QualityModel:
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 m = model.value
                 for batch in batches:
-                    x = np.array([m.compressor.features(b or b"") for b in texts(batch, "text")]).reshape(-1, 4)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(m.scores(x))], names=["doc_id", "held_out", "score"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(m.scores(texts(batch, "text")))], names=["doc_id", "held_out", "score"])
 
             scored = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
         return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -100,14 +100,13 @@ class QualityModel:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = model.value
             for batch in batches:
-                x = np.array([m.compressor.features(b or b"") for b in texts(batch, text)]).reshape(-1, 4)
-                yield batch.filter(pa.array(m.scores(x) >= threshold))
+                yield batch.filter(pa.array(m.scores(texts(batch, text)) >= threshold))
 
         return docs.mapInArrow(run, docs.schema)
 
 
 def design(x: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.ones(len(x)), x, x * x, x[:, :1] * x[:, 1:]])
+    return np.column_stack([np.ones(len(x)), x])
 
 
 def _dictionary(samples: list[bytes]) -> bytes:
@@ -119,16 +118,6 @@ def _dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
-def _one_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One piece of each text, at a place that its id decides."""
-    for batch in batches:
-        pieces = []
-        for i, b in zip(batch.column(0).to_pylist(), texts(batch, "text"), strict=True):
-            k = (i * 2654435761 % (1 << 32)) % max(1, -(-len(b or b"") // PIECE))
-            pieces.append((b or b"")[k * PIECE : (k + 1) * PIECE])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces, pa.binary()), batch.column(2)], names=["doc_id", "piece", "quality"])
-
-
 def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> QualityModel:
     """Fits on labelled rows that are not held out. Null labels, ids and unlabelled rows are left out; of labels that
     repeat an id the least counts, of rows that repeat it each. Extra columns are not read."""
@@ -141,12 +130,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
     for_dictionaries = [part.where(f"quality = {q}").orderBy("rank").limit(DICTIONARY_ROWS) for q in (0, 1)]
     ids = for_dictionaries[0].union(for_dictionaries[1]).select("doc_id", "quality")
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    # at most 2 * DICTIONARY_ROWS ids are broadcast, and as many pieces come back
-    pieces = source.join(F.broadcast(ids), "doc_id").mapInArrow(_one_piece, "doc_id long, piece binary, quality int")
+    # at most 2 * DICTIONARY_ROWS ids are broadcast, and as many texts come back, one after the other; of rows that repeat an
+    # id one counts
+    chosen = source.where("text <> ''").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     samples = ([], [])
-    for r in pieces.dropDuplicates(["doc_id"]).orderBy("doc_id").collect():
-        if r.piece:
-            samples[r.quality].append(bytes(r.piece))
+    for r in chosen.orderBy("doc_id").toLocalIterator():
+        b = r.text.encode()
+        samples[r.quality].extend(b[i : i + PIECE] for i in range(0, len(b), PIECE))
     if not all(samples):
         return QualityModel(None)
     model = QualityModel(Compressor(good=_dictionary(samples[1]), bad=_dictionary(samples[0])))
@@ -154,15 +144,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [held.value.features(b or b"") for b in texts(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64())), batch.column(2)], names=["doc_id", "x", "quality"])
+            x = [held.value.difference(b or b"") for b in texts(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64()), batch.column(2)], names=["doc_id", "x", "quality"])
 
     ids = known.where(F.col("rank") % 2 != 0).orderBy("rank").limit(CALIBRATION_ROWS).select("doc_id", "quality")
-    rows = source.join(F.broadcast(ids), "doc_id").mapInArrow(measure, "doc_id long, x array<double>, quality int").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    rows = source.join(F.broadcast(ids), "doc_id").mapInArrow(measure, "doc_id long, x double, quality int").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     if len({r.quality for r in rows}) < 2:  # too few for two samples: the dictionaries' own rows calibrate
-        rows = source.join(F.broadcast(known.orderBy("rank").limit(CALIBRATION_ROWS).select("doc_id", "quality")), "doc_id").mapInArrow(measure, "doc_id long, x array<double>, quality int").orderBy("doc_id").collect()
-    x, y = np.array([r.x for r in rows]).reshape(-1, 4), np.array([r.quality for r in rows], float)
-    model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
+        rows = source.join(F.broadcast(known.orderBy("rank").limit(CALIBRATION_ROWS).select("doc_id", "quality")), "doc_id").mapInArrow(measure, "doc_id long, x double, quality int").orderBy("doc_id").collect()
+    x, y = np.array([r.x for r in rows], float), np.array([r.quality for r in rows], float)
+    model.mean, model.scale = float(x.mean()), float(x.std()) + 1e-9
     model.weights = _logistic(design((x - model.mean) / model.scale), y)
     return model
 

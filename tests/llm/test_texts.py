@@ -44,6 +44,17 @@ def test_quality_on_held_out_rows(spark):
     assert model.score(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_quality_of_the_table(spark):
+    """Held-out labels of the table, whole texts; a very long text is scored like its own kind."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = fit_quality(docs, labels)
+    got = model.score(docs).where("held_out").join(labels, "doc_id").where("quality is not null").toPandas()
+    assert len(got) > 60 and (got.predicted == got.quality).mean() >= 0.9
+    good = docs.join(labels.where("quality = 1"), "doc_id").orderBy("doc_id").first().text
+    x = model.score(spark.createDataFrame([(1, good), (2, f"{good} " * (2_000_000 // len(good)))], "doc_id bigint, text string")).collect()
+    assert x[0].predicted == x[1].predicted == 1
+
+
 def test_blocks():
     page = "<html><head><title>t</title><script>var a='</p>';</script></head><body><!-- <p>no</p> --><p>a&amp;b <b>c</b>d<br>e\n  f<p>g<div>h<a href='>'>i</a></div>j</body>"
     assert [(b.text, b.linked) for b in blocks(page)] == [("a&b cd e f", 0), ("g", 0), ("hi", 1), ("j", 0)]
