@@ -8,7 +8,7 @@
    list of m costs m pairs, not m * m. Members that already are in one component meet no more. A last round takes the
    pairs of different components that are left in a list, so no link is lost. A value's places in two documents bound
    their overlap if it is the first that they share; pairs that cannot reach the similarity so don't meet there.
-4. The sketch of the union estimates the similarity; pairs more than SIGMAS deviations short go.
+4. The sketch of the union bounds the similarity; pairs that can't reach it go.
 5. The rest is verified on full shingle sets, with integers.
 """
 
@@ -27,7 +27,6 @@ from .components import connected_components
 from .shingles import WordHashes, set_key, shingle_set, texts
 
 SKETCH = 64
-SIGMAS = 6
 #: A value counted more often than this is common; at most MAX_COMMON of them are ranked last (8 bytes each, broadcast).
 #: Values among a document's least are always counted, others where REPEATS of 2000 documents have them.
 COMMON, MAX_COMMON, REPEATS = 48, 250_000, 4
@@ -115,20 +114,21 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _plausible(num: int, den: int):
-    """Estimates the similarity from the least hashes of the union of two sketches."""
-    t = num / den
+    """The sketch of the union tells how many of its least values both sets have. Beyond its reach they share no more values
+    than the smaller rest has, so that a pair that goes can't be a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs, ys = batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist()
+            columns = (batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "n_a", "n_b"))
             keep = []
-            for x, y in zip(xs, ys, strict=True):
+            for x, y, n, m in zip(*columns, strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 # a sketch shorter than SKETCH is its whole set; the union's least values are exact up to the shorter reach
                 union = np.union1d(x, y)[:SKETCH]
                 both = np.intersect1d(x, y, assume_unique=True)
-                shared = int((both <= union[-1]).sum())
-                keep.append(shared >= (t - SIGMAS * math.sqrt(t * (1 - t) / len(union))) * len(union))
+                shared = int(np.searchsorted(both, union[-1], "right"))
+                rest = min(n - int(np.searchsorted(x, union[-1], "right")), m - int(np.searchsorted(y, union[-1], "right")))
+                keep.append((num + den) * (shared + rest) >= num * (n + m))
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield kept.select(["a", "b"])
 
@@ -261,7 +261,7 @@ def _rest_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _verify(source: DataFrame, heads: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    side = lambda s: heads.select(F.col("rep").alias(s), F.col("sketch").alias(f"sketch_{s}"))
+    side = lambda s: heads.select(F.col("rep").alias(s), F.col("sketch").alias(f"sketch_{s}"), F.col("n").alias(f"n_{s}"))
     likely = write_table(
         pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_plausible(num, den), "a long, b long").distinct(), "near-likely"
     )
