@@ -4,8 +4,9 @@ Every 100-byte window has an anchor: the 40-byte gram of least hash in it, the l
 equal anchors at equal offsets, so windows need to be compared only where their anchors are equal. Consecutive windows
 with one anchor form a run, whose context is the bytes they cover.
 
-1. Anchors are counted; those that occur twice or more set a bit in a bitmap of fixed size, which is broadcast.
-2. Runs whose anchor's bit is set are dealt out by anchor. Within a batch, contexts that came before settle at once.
+1. Anchors are counted; those that occur twice or more set a bit in a bitmap, which is broadcast and has a greatest size.
+2. Runs whose anchor's bit is set are dealt out by anchor; runs of an anchor that very many places have are dealt out window
+   by window, by the window's hash. Within a batch, contexts that came before settle at once.
 3. Contexts of equal anchors stand in one shard. A suffix array orders the shard's suffixes, the permuted common
    prefixes tell which windows are equal, and all but the first of equal windows are removed.
 4. A document's removed stretches meet its text again.
@@ -28,8 +29,13 @@ from .suffix_array import common_prefixes, suffix_array
 
 WINDOW, GRAM = 100, 40
 GRAMS = WINDOW - GRAM + 1
-#: Bits of the map of repeated anchors (8 MB). A set bit by chance only sends a run that nothing meets.
-BITMAP_BITS = 1 << 26
+#: Bits of the map of repeated anchors: BITS_EACH for an anchor within these bounds (128 KB and 128 MB). A set bit by chance
+#: only sends a run that nothing meets.
+BITS_EACH, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 30
+#: An anchor with more places than this is hot. A shard holds the distinct contexts of an anchor in memory, about 150 bytes each.
+HOT = 500_000
+#: Hot anchors that are broadcast (8 bytes each), the hottest first.
+MOST_HOT = 4_000_000
 #: A shard takes whole anchors until it has this many bytes.
 SHARD_BYTES = 1 << 20
 #: Stands for a missing doc_id: after all others.
@@ -83,11 +89,12 @@ def text_key(b: bytes) -> int:
     return xxhash.xxh3_64_intdigest(b) - (1 << 63)
 
 
-def _repeated_runs(bitmap):
+def _repeated_runs(bitmap, hot):
     """Runs with a repeated anchor. A row without context is a stretch that is removed already: an earlier row of the batch has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap.value, np.uint64)
+        bits, many = np.frombuffer(bitmap.value, np.uint64), frozenset(hot.value)
+        size = np.uint64(64 * len(bits))
         for batch in batches:
             docs = {}
             for i, b in zip(batch.column(0).to_pylist(), texts(batch, "text"), strict=True):
@@ -96,13 +103,18 @@ def _repeated_runs(bitmap):
             seen, rows = set(), []
             for (doc, key), b in sorted(docs.items()):
                 a, first, n, _ = runs(b)
-                slot = a % np.uint64(BITMAP_BITS)
+                slot = a % size
                 hit = np.flatnonzero((bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
-                gone_from = gone_to = -1  # removed runs that touch are one stretch
+                parts = []
                 for anchor, f, c in zip(a[hit].view(np.int64).tolist(), first[hit].tolist(), n[hit].tolist(), strict=True):
+                    if anchor in many:
+                        parts += [(text_key(b[k : k + WINDOW]), k, 1) for k in range(f, f + c)]
+                    else:
+                        parts.append((anchor, f, c))
+                gone_from = gone_to = -1  # removed runs that touch are one stretch
+                for anchor, f, c in parts:
                     context = b[f : f + c + WINDOW - 1]
-                    digest = xxhash.xxh3_128_digest(context)
-                    if digest in seen:
+                    if context in seen:
                         if f == gone_to:
                             gone_to = f + c
                         else:
@@ -110,7 +122,7 @@ def _repeated_runs(bitmap):
                                 rows.append((anchor, doc, key, gone_from, gone_to - gone_from, None))
                             gone_from, gone_to = f, f + c
                     else:
-                        seen.add(digest)
+                        seen.add(context)
                         rows.append((anchor, doc, key, f, c, context))
                 if gone_to > gone_from:
                     rows.append((anchor, doc, key, gone_from, gone_to - gone_from, None))
@@ -122,20 +134,9 @@ def _repeated_runs(bitmap):
     return run
 
 
-def _settle(groups: list[list[tuple]], out: list[tuple]) -> None:
-    """groups: for each anchor its rows (doc_id, text_key, first, n, context), sorted. Appends removed windows to out."""
-    contexts, owners = [], []
-    for rows in groups:
-        seen = {}
-        for row in rows:
-            if row[4] in seen:
-                if row[:3] != seen[row[4]][:3]:  # else the same document in another row
-                    out.append((row[0], row[1], row[2], row[3]))
-            else:
-                seen[row[4]] = row
-        if len(seen) > 1:
-            owners += seen.values()
-            contexts += seen
+def _settle(groups: list[dict[bytes, tuple]], out: list[tuple]) -> None:
+    """groups: for each anchor the first row (doc_id, text_key, first, n) of each context. Appends removed windows to out."""
+    contexts, owners = [c for g in groups for c in g], [o for g in groups for o in g.values()]
     if not contexts:
         return
     order = sorted(range(len(owners)), key=lambda i: owners[i][:3])
@@ -174,7 +175,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "text_key", "first", "n"])
 
-    groups, group, held, current, out = [], [], 0, None, []
+    groups, group, held, current, out = [], {}, 0, None, []
     for batch in batches:
         for a, doc, key, first, n, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if context is None:
@@ -183,12 +184,14 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if a != current:
                 if len(group) > 1:
                     groups.append(group)
-                    held += sum(len(r[4]) for r in group)
+                    held += sum(map(len, group))
                     if held >= SHARD_BYTES:
                         _settle(groups, out)
                         groups, held = [], 0
-                group, current = [], a
-            group.append((doc, key, first, n, context))
+                group, current = {}, a
+            before = group.setdefault(context, (doc, key, first, n))
+            if before[:3] != (doc, key, first):  # else the same document in another row, or the first one
+                out.append((doc, key, first, n))
         if len(out) > 10_000:
             yield emit(out)
             out = []
@@ -234,17 +237,21 @@ def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     prepare(spark)
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     repeated = source.select("text").mapInArrow(_anchors, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1")
-    slot = F.pmod("a", F.lit(BITMAP_BITS))  # BITMAP_BITS is a power of two: the same for signed and unsigned
+    repeated = write_table(repeated, "substring-anchors")
+    n_bits = min(MOST_BITS, max(LEAST_BITS, 1 << (repeated.count() * BITS_EACH).bit_length()))
+    slot = F.pmod("a", F.lit(n_bits).cast("bigint"))  # a power of two: the same for signed and unsigned
     marked = write_table(
-        repeated.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(a, {BITMAP_BITS}) % 64 as int))").alias("bit"))
+        repeated.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(a, {n_bits}L) % 64 as int))").alias("bit"))
         .groupBy("word").agg(F.bit_or("bit").alias("bits")), "substring-bitmap",
     )
-    bits = np.zeros(BITMAP_BITS // 64, np.uint64)
-    for part in marked.toLocalIterator(prefetchPartitions=False):  # BITMAP_BITS / 64 rows at most
+    bits = np.zeros(n_bits // 64, np.uint64)
+    for part in marked.toLocalIterator(prefetchPartitions=False):  # MOST_BITS / 64 rows at most
         bits[part.word] = np.uint64(part.bits & 0xFFFFFFFFFFFFFFFF)
-    drop_table(marked)
     bitmap = spark.sparkContext.broadcast(bits.tobytes())
-    found = source.mapInArrow(_repeated_runs(bitmap), RUN_SCHEMA)
+    hot = [r.a for r in repeated.where(f"n > {HOT}").orderBy(F.desc("n"), "a").limit(MOST_HOT).select("a").collect()]
+    hot = spark.sparkContext.broadcast(hot)
+    drop_table(marked, repeated)
+    found = source.mapInArrow(_repeated_runs(bitmap, hot), RUN_SCHEMA)
     # stretches that are settled already are spread; runs meet by anchor
     dealt = found.repartition(F.when(F.col("context").isNull(), F.xxhash64("doc_id", "first")).otherwise(F.col("a")))
     gone = dealt.sortWithinPartitions("a", "doc_id", "text_key", "first").mapInArrow(_removed, "doc_id long, text_key long, first int, n int")

@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import grovekit.llm.substring_dedup as substring_dedup_module
 from grovekit.llm.exact_dedup import DigestIndex, exact_dedup
 from grovekit.llm.line_dedup import delete_repeated_lines, line_dedup, patience
 from grovekit.llm.near_dedup import near_dedup
@@ -188,13 +189,16 @@ def removed(rows):
     return out
 
 
-def test_substrings(spark):
+def test_substrings(spark, monkeypatch):
     rows = corpus(3, 80, 25) + [(None, "x" * 500), (900, "y" * 300), (901, "y" * 299 + "z"), (902, "ab" * 200)]
     got = substring_dedup(frame(spark, rows).repartition(5)).collect()
     want = removed(rows)
     assert sum(v[1] for v in want.values()) > 3000
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
     assert all(hashlib.sha256(r.kept_bytes).hexdigest() == r.kept_sha256 for r in got)
+    monkeypatch.setattr(substring_dedup_module, "HOT", 3)
+    again = substring_dedup(frame(spark, rows).repartition(3)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in again} == want
     assert substring_dedup(frame(spark, [])).count() == 0
     twice = substring_dedup(frame(spark, [(1, "abc" * 50), (1, "abc" * 50), (2, "abc" * 50)])).collect()
     assert sorted((r.doc_id, r.n_removed) for r in twice) == [(1, 147), (1, 147), (2, 150)]
