@@ -229,6 +229,7 @@ def removed_lines(source: DataFrame) -> DataFrame:
     drop_table(lines, shared, classes)
     holders = write_table(sequences.mapInArrow(_pairing, "doc_id long, key long, copies long, h long, is_line boolean"), "lines-holders")
     of_h = holders.groupBy("h").agg(F.min(doc).alias("first"), F.max(doc).alias("hi"), F.sum("copies").alias("n"), F.max("is_line").alias("line")).where("first <> hi")
+    of_h = write_table(of_h, "lines-firsts")  # apart from the join, so that a very common line's holders are dealt anew there
     met = write_table(holders.join(of_h.drop("hi"), "h").where("first < struct(doc_id, key)").select("h", doc.alias("later"), "first", "n", "line"), "lines-met")
     # a rare line's holders but for the earliest: RARE - 1 of them at most
     others = met.where(f"line and n between 3 and {RARE}").groupBy("h").agg(F.array_sort(F.collect_list("later")).alias("ds"))
@@ -240,7 +241,7 @@ def removed_lines(source: DataFrame) -> DataFrame:
     gone = gone.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     copies = ranked.where(f"not is_first and chars >= {MIN_CHARS}").select("doc_id", "key", F.array(F.lit(ALL)).alias("gone"))
     out = write_table(gone.unionByName(copies), "lines-gone")
-    drop_table(holders, sequences, met, ranked)
+    drop_table(holders, sequences, met, ranked, of_h)
     return out
 
 
