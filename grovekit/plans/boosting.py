@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import drop_table
 from .lineage import cut_lineage
 from .regression import StreamingRegressionTree
 from .tree import DecisionTree
@@ -48,13 +49,13 @@ class GradientBoostingRegression:
     inner: StreamingRegressionTree
     learning_rate: float
     init: str = "zero"
-    cut_every: int = 10
+    cut_every: int = 1
 
     def fit(self, df: DataFrame, features: list[str], target: str) -> BoostChain:
         if self.iterations < 1:
             raise ValueError("iterations >= 1 is needed")
         data = df.select(*(F.col(f).cast("bigint") for f in features), F.col(target).cast("double").alias("residual")).where("residual is not null and not isnan(residual)")
-        chain = BoostChain(self.learning_rate, features)
+        chain, table = BoostChain(self.learning_rate, features), None
         if self.init == "mean":
             chain.start = data.agg(F.avg("residual")).first()[0] or 0.0
             data = data.withColumn("residual", F.col("residual") - chain.start)
@@ -65,4 +66,7 @@ class GradientBoostingRegression:
             data = data.withColumn("residual", F.col("residual") - F.coalesce(step, F.lit(0.0)))
             if (stage + 1) % self.cut_every == 0 and stage + 1 < self.iterations:
                 data = cut_lineage(data)
+                if table is not None:
+                    drop_table(table)
+                table = data
         return chain

@@ -5,19 +5,47 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Centroids = list[list[float]]
 
 
+#: Up to so many terms (centroids times dims) distances are plain arithmetic, which Spark compiles; beyond, matrix rows.
+PLAIN_TERMS = 64
+
+
+def _closest(x: Column, centroids: Centroids) -> Column:
+    """struct of the least squared distance d and its centroid k, the first of equals; null features give null."""
+    if len(centroids) * len(centroids[0]) <= PLAIN_TERMS:
+        def distance(c):
+            out = F.lit(0.0)
+            for j, v in enumerate(c):
+                out = out + (F.get(x, F.lit(j)) - v) * (F.get(x, F.lit(j)) - v)
+            return out
+
+        best = F.array_min(F.array(*(F.struct(distance(c).alias("d"), F.lit(k).alias("k")) for k, c in enumerate(centroids))))
+        return F.when(x.isNotNull(), best)
+    flat = np.array(centroids, float)
+
+    @F.pandas_udf("struct<d double, k int>")
+    def closest(rows: pd.Series) -> pd.DataFrame:
+        known = rows.notna().to_numpy()
+        out = pd.DataFrame({"d": np.full(len(rows), np.nan), "k": pd.array([None] * len(rows), "Int32")})
+        if known.any():
+            m = np.stack(rows[known].to_numpy()).astype(float)
+            d = np.stack([((m - c) ** 2).sum(1) for c in flat], 1)
+            out.loc[known, "d"], out.loc[known, "k"] = d.min(1), d.argmin(1)
+        return out
+
+    return F.when(x.isNotNull(), closest(x))
+
+
 def nearest(features: str | Column, centroids: Centroids) -> Column:
     """The cluster of least squared distance, the first of equals. Null features give null."""
-    x = F.col(features) if isinstance(features, str) else features
-    def distance(c):
-        return F.aggregate(F.zip_with(x, F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    best = F.array_min(F.array(*(F.struct(distance(c).alias("d"), F.lit(k).alias("k")) for k, c in enumerate(centroids))))
-    return F.when(x.isNotNull(), best["k"])
+    return _closest(F.col(features) if isinstance(features, str) else features, centroids)["k"]
 
 
 def accumulate(assigned: DataFrame, dims: int, features: str = "features", cluster: str = "cluster") -> DataFrame:
@@ -81,7 +109,7 @@ class KMeansPlusPlus:
             u = (F.xxhash64("_id", F.lit(self.seed), F.lit(j)).bitwiseAND(F.lit((1 << 53) - 1)) + 0.5) / float(1 << 53)
             d2 = F.lit(1.0)
             if chosen:
-                d2 = F.least(*(F.aggregate(F.zip_with("_x", F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v) for c in chosen), F.lit(float("inf")))
+                d2 = _closest(F.col("_x"), chosen)["d"]
             key = F.when(d2 > 0, -F.log(u) / d2).otherwise(F.lit(float("inf")))
             r = rows.agg(F.min_by("_x", F.struct(key, "_id")).alias("x")).first()
             if r["x"] is None:

@@ -13,6 +13,14 @@ from ..operators.splits import best_subset, subset_losses
 from .tree import DecisionTree, Rule, route
 
 
+#: Bounded medians are off by one in so many ranks at most.
+MEDIAN_ACCURACY = 10_000
+
+
+#: Bounded targets: shares of the rows between which cells are laid, and cells for each of the bins.
+EDGES, CELLS = (0.005, 0.995), 8
+
+
 @dataclass
 class RegressionModel:
     tree: DecisionTree
@@ -24,8 +32,8 @@ class RegressionModel:
 
 @dataclass
 class StreamingRegressionTree:
-    """A node splits whenever some feature has two values, down to levels. bins: None for exact targets, else the entries
-    that stand for the targets of a feature value."""
+    """A node splits whenever some feature has two values, down to levels. bins: None for exact targets, else CELLS * bins
+    (and two) cells at most stand for the targets of a feature value."""
 
     levels: int
     bins: int | None = None
@@ -38,13 +46,14 @@ class StreamingRegressionTree:
         data = df.select(*(F.col(f).cast("bigint") for f in features), F.col(target).cast("double").alias("y"))
         data = data.where("y is not null and not isnan(y)").withColumn("node_id", F.lit(0)).persist()
         rows, tree, open_nodes = data, DecisionTree(), [0]
+        bounds = data.agg(F.percentile_approx("y", list(EDGES), 1000)).first()[0] if self.bins is not None and self.levels else None
         for level in range(self.levels + 1):
             live = rows.where(F.col("node_id").isin(open_nodes)) if level else rows
             for r in self._medians(live).collect():
                 tree.label(r["node_id"], r["median"])
             if level == self.levels:
                 break
-            exact = self._targets(live, features).persist()
+            exact = self._targets(live, features, bounds).persist()
             small = small_rows(exact)
             if small is not None:
                 splits = best_subset_local(small, self.trim_ratio)
@@ -63,17 +72,18 @@ class StreamingRegressionTree:
     def _medians(self, live: DataFrame) -> DataFrame:
         if self.bins is None:
             counts = live.groupBy("node_id", "y").agg(F.count("*").alias("n"))
-        else:
-            counts = _bounded(live, ["node_id"], 64 * self.bins)
-        return weighted_upper_median(counts, ["node_id"])
+            return weighted_upper_median(counts, ["node_id"])
+        return live.groupBy("node_id").agg(F.percentile_approx("y", 0.5, MEDIAN_ACCURACY).alias("median"))
 
-    def _targets(self, live: DataFrame, features: list[str]) -> DataFrame:
+    def _targets(self, live: DataFrame, features: list[str], bounds: list[float] | None) -> DataFrame:
         if self.bins is None:
             return target_histogram_exact(live, features, "y")
-        return _bounded(unpivot(live, features, ["node_id", "y"], "bigint"), ["node_id", "attr", "value"], max(self.bins, 2))
-
-
-def _bounded(rows: DataFrame, keys: list[str], bins: int) -> DataFrame:
-    """keys, y, n: the centroids of y for each key, bins at most, combined before the shuffle."""
-    fine = rows.groupBy(*keys).agg(F.histogram_numeric("y", F.lit(bins)).alias("b")).select(*keys, F.explode("b").alias("b"))
-    return fine.select(*keys, F.col("b.x").alias("y"), F.round("b.y").cast("bigint").alias("n"))
+        if bounds is None:
+            return target_histogram_exact(live.limit(0), features, "y")
+        low, high = bounds
+        n = CELLS * max(self.bins, 2)
+        # cells of equal width between the edges and one on either side; a feature value's targets in a cell stand at their mean
+        cell = F.width_bucket("y", F.lit(low), F.lit(high), F.lit(n)) if low < high else (F.col("y") > low).cast("int") + (F.col("y") >= low).cast("int")
+        long = unpivot(live.withColumn("cell", cell), features, ["node_id", "y", "cell"], "bigint")
+        counts = long.groupBy("node_id", "attr", "value", "cell").agg(F.avg("y").alias("y"), F.count("*").alias("n"))
+        return counts.select("node_id", "attr", "value", "y", "n")

@@ -3,24 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.ordered import running
+
 
 def number_rows(df: DataFrame, order: list[str | Column], name: str = "row_id") -> DataFrame:
     """Numbers rows from 0 in a total order, without gathering them: ranges of the order are numbered each by itself and
     shifted by the sizes of the ranges before, of which there is one a partition. The order must have no ties."""
-    columns = [F.col(c) if isinstance(c, str) else c for c in order]
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *columns).withColumn("_range", F.spark_partition_id()).persist()
-    sizes = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
-    shifts, total = {}, 0
-    for k in sorted(sizes):
-        shifts[k] = total
-        total += sizes[k]
-    shift = F.get(F.array(*(F.lit(shifts.get(k, 0)).cast("bigint") for k in range(n))), F.col("_range"))
-    inside = F.row_number().over(W.partitionBy("_range").orderBy(*columns)).cast("bigint") - 1
-    return ranged.withColumn(name, inside + shift).drop("_range")
+    return running(df, order, F.lit(1).cast("bigint"), name, inclusive=False).withColumn(name, F.coalesce(name, F.lit(0)).cast("bigint"))
 
 
 def count_rows(df: DataFrame) -> DataFrame:
