@@ -8,7 +8,7 @@
    list of m costs m pairs, not m * m. Members that already are in one component meet no more. A last round takes the
    pairs of different components that are left in a list, so no link is lost. A value's places in two documents bound
    their overlap if it is the first that they share; pairs that cannot reach the similarity so don't meet there.
-4. The sketch of the union bounds the similarity; pairs that can't reach it go.
+4. The sketch of the union and counts of values by cell bound the similarity; pairs that can't reach it go.
 5. The rest is verified on full shingle sets, with integers.
 """
 
@@ -27,6 +27,8 @@ from .components import connected_components
 from .shingles import WordHashes, set_key, shingle_set, texts
 
 SKETCH = 64
+#: Cells by which a set's values are counted: two sets share no more values of a cell than the smaller count.
+CELL_BITS = 7
 #: A value counted more often than this is common; at most MAX_COMMON of them are ranked last (8 bytes each, broadcast).
 #: Values among a document's least are always counted, others where REPEATS of 2000 documents have them.
 COMMON, MAX_COMMON, REPEATS = 48, 250_000, 4
@@ -66,12 +68,13 @@ def _sketches(k: int, num: int, den: int, common):
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), texts(batch, "text")
             for i in range(0, len(rows), 500):
-                sizes, keys, sketches, kept, offsets = [], [], [], [], [0]
+                sizes, keys, sketches, cells, kept, offsets = [], [], [], [], [], [0]
                 for t in rows[i : i + 500]:
                     s = shingle_set(t, k, words)
                     sizes.append(len(s))
                     keys.append(set_key(s))
                     sketches.append(s[:SKETCH].tobytes())
+                    cells.append(np.bincount((s >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS).astype(np.uint32).tobytes())
                     if len(s):
                         p = n_kept(len(s), num, den)
                         if len(last):
@@ -85,10 +88,10 @@ def _sketches(k: int, num: int, den: int, common):
                 values = np.concatenate(kept).view(np.int64) if kept else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids[i : i + 500], pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()),
+                        pa.array(ids[i : i + 500], pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()), pa.array(cells, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)),
                     ],
-                    names=["doc_id", "n", "key", "sketch", "kept"],
+                    names=["doc_id", "n", "key", "sketch", "cells", "kept"],
                 )
 
     return run
@@ -115,13 +118,16 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
 
 def _plausible(num: int, den: int):
     """The sketch of the union tells how many of its least values both sets have. Beyond its reach they share no more values
-    than the smaller rest has, so that a pair that goes can't be a link."""
+    than the smaller rest has, and in no cell more than the smaller count: a pair that goes can't be a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "n_a", "n_b"))
+            columns = (batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "cells_a", "cells_b", "n_a", "n_b"))
             keep = []
-            for x, y, n, m in zip(*columns, strict=True):
+            for x, y, u, v, n, m in zip(*columns, strict=True):
+                if (num + den) * int(np.minimum(np.frombuffer(u, np.uint32), np.frombuffer(v, np.uint32)).sum()) < num * (n + m):
+                    keep.append(False)
+                    continue
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 # a sketch shorter than SKETCH is its whole set; the union's least values are exact up to the shorter reach
                 union = np.union1d(x, y)[:SKETCH]
@@ -161,15 +167,15 @@ def near_dedup(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, t
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     last = spark.sparkContext.broadcast(_common_values(source, words, num, den).tobytes())
     scan = write_table(
-        source.mapInArrow(_sketches(words, num, den, last), "doc_id long, n long, key binary, sketch binary, kept array<long>"), "near-scan"
+        source.mapInArrow(_sketches(words, num, den, last), "doc_id long, n long, key binary, sketch binary, cells binary, kept array<long>"), "near-scan"
     )
     linkable = scan.where("n > 0 and doc_id is not null")
     classes = write_table(
         linkable.groupBy("key").agg(F.min("doc_id").alias("rep")), "near-classes"
     )
-    reps = linkable.join(classes, "key").where("doc_id = rep").dropDuplicates(["doc_id", "key"]).select("rep", "n", "key", "sketch", "kept")
+    reps = linkable.join(classes, "key").where("doc_id = rep").dropDuplicates(["doc_id", "key"]).select("rep", "n", "key", "sketch", "cells", "kept")
     lists = _lists(reps, num, den)
-    heads = write_table(reps.join(lists.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "sketch"), "near-heads")
+    heads = write_table(reps.join(lists.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "sketch", "cells"), "near-heads")
     links = _links(source, heads, lists, words, num, den)
     same = linkable.join(classes, "key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     components = connected_components(links.select("a", "b").union(same), "near")
@@ -261,7 +267,7 @@ def _rest_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _verify(source: DataFrame, heads: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    side = lambda s: heads.select(F.col("rep").alias(s), F.col("sketch").alias(f"sketch_{s}"), F.col("n").alias(f"n_{s}"))
+    side = lambda s: heads.select(F.col("rep").alias(s), F.col("sketch").alias(f"sketch_{s}"), F.col("cells").alias(f"cells_{s}"), F.col("n").alias(f"n_{s}"))
     likely = write_table(
         pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_plausible(num, den), "a long, b long").distinct(), "near-likely"
     )
