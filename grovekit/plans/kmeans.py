@@ -82,6 +82,11 @@ class ConvergenceCriteria:
         return sum(math.dist(a, b) for a, b in zip(old, new, strict=True)) <= self.change
 
 
+def _digest(row_id: str, *salt: int) -> Column:
+    """Hex digits that are the same on any partitioning and in any engine."""
+    return F.md5(F.concat_ws(":", F.col(row_id).cast("string"), *(F.lit(str(s)) for s in salt)))
+
+
 @dataclass(frozen=True)
 class RandomSample:
     """k distinct rows in the order of a seeded hash of their id: the same on any partitioning."""
@@ -89,7 +94,7 @@ class RandomSample:
     seed: int = 0
 
     def select(self, df: DataFrame, k: int, features: str, row_id: str) -> Centroids:
-        rows = df.where(F.col(features).isNotNull()).orderBy(F.xxhash64(row_id, F.lit(self.seed)), row_id).limit(k).select(features).collect()
+        rows = df.where(F.col(features).isNotNull()).orderBy(_digest(row_id, self.seed), row_id).limit(k).select(features).collect()
         if len(rows) < k:
             raise ValueError(f"{k} rows are needed")
         return [[float(v) for v in r[0]] for r in rows]
@@ -106,7 +111,7 @@ class KMeansPlusPlus:
         rows = df.where(F.col(features).isNotNull()).select(F.col(row_id).alias("_id"), F.transform(features, lambda v: v.cast("double")).alias("_x")).persist()
         chosen: Centroids = []
         for j in range(k):
-            u = (F.xxhash64("_id", F.lit(self.seed), F.lit(j)).bitwiseAND(F.lit((1 << 53) - 1)) + 0.5) / float(1 << 53)
+            u = (F.conv(F.substring(_digest("_id", self.seed, j), 1, 13), 16, 10).cast("bigint") + F.lit(0.5)) / float(1 << 52)
             d2 = F.lit(1.0)
             if chosen:
                 d2 = _closest(F.col("_x"), chosen)["d"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.metrics import incorrect_ratio, mae, prediction_error, rmse
 from .functions.quantize import NormalQuantizer, UniformQuantizer
+from .oracle_sql import boosted_counts, classification_nodes, lloyd_ctes, nearest_cte, plus_plus_ctes, regression_nodes
 from .operators import flow, histograms, splits
 from .plans.boosting import GradientBoostingRegression
 from .plans.classification import StreamingClassificationTree
@@ -395,9 +396,10 @@ def ctree_incorrect(spark, sf_dir):
     return model.transform(rows.select(*CLASS_FEATURES, "l_returnflag")).agg(F.round(incorrect_ratio(F.col("prediction"), F.col("l_returnflag")), 9).alias("error"))
 
 
-@query("ctree_train_nodes")
+@query("ctree_train_nodes", classification_nodes(3, CLASS_FEATURES, "l_returnflag", "lineitem"))
 def ctree_nodes(spark, sf_dir):
-    return StreamingClassificationTree(levels=3).fit(table(spark, sf_dir, "lineitem"), CLASS_FEATURES, "l_returnflag").tree.nodes_frame(spark, "string")
+    tree = StreamingClassificationTree(levels=3).fit(table(spark, sf_dir, "lineitem"), CLASS_FEATURES, "l_returnflag").tree
+    return tree.nodes_frame(spark, "string").select("node_id", "is_leaf", "feature", "threshold", "label")
 
 
 @query("ctree_bounded_nodes")
@@ -484,9 +486,13 @@ def rtree_predict(spark, sf_dir):
     return model.transform(rows).groupBy("prediction").agg(F.count("*").alias("n"), F.sum("y").alias("total"))
 
 
-@query("rtree_train_nodes")
+VALUE_COUNTS_SQL = [VALUE_SQL, "counts as (select linenumber as f0, discount as f1, tax as f2, 0.0::double as done, y, count(*) as n from v group by all)"]
+
+
+@query("rtree_train_nodes", regression_nodes(3, VALUE_COUNTS_SQL, "counts", 3))
 def rtree_nodes(spark, sf_dir):
-    return StreamingRegressionTree(levels=3).fit(value_rows(spark, sf_dir), VALUE_FEATURES, "y").tree.nodes_frame(spark)
+    nodes = StreamingRegressionTree(levels=3).fit(value_rows(spark, sf_dir), VALUE_FEATURES, "y").tree.nodes_frame(spark)
+    return nodes.select("node_id", "is_leaf", "feature", F.array_join(F.transform("subset", lambda x: x.cast("string")), ",").alias("subset"), "label")
 
 
 @query("rtree_bounded_nodes")
@@ -501,7 +507,7 @@ def gbm_residuals(spark, sf_dir):
     return chain.transform(rows).groupBy(F.round(F.col("y") - F.col("prediction"), 6).alias("residual")).agg(F.count("*").alias("n"))
 
 
-@query("gbm_predict_2stage")
+@query("gbm_predict_2stage", boosted_counts(2, 0.5, VALUE_COUNTS_SQL, "counts", 3))
 def gbm_predict(spark, sf_dir):
     rows = value_rows(spark, sf_dir)
     chain = GradientBoostingRegression(2, StreamingRegressionTree(levels=1), 0.5).fit(rows, VALUE_FEATURES, "y")
@@ -594,17 +600,29 @@ def vectors(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.transform("embedding", lambda v: v.cast("double")).alias("features"))
 
 
-@query("kmeans_init_random")
+def listed_centroids(spark, centroids) -> DataFrame:
+    """cluster, dim, value."""
+    return spark.createDataFrame([(k, j, v) for k, c in enumerate(centroids) for j, v in enumerate(c)], "cluster int, dim int, value double")
+
+
+LISTED = "cluster, unnest(range(len(c))) as dim, unnest(c) as value"
+
+
+@query("kmeans_init_random", f"""with s as (select row_number() over (order by md5(vec_id || ':3'), vec_id) - 1 as cluster, list_transform(embedding, lambda x: x::double) as c from embeddings where embedding is not null)
+    select {LISTED} from s where cluster < 10""")
 def kmeans_init_random(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(RandomSample(3).select(vectors(spark, sf_dir), 10, "features", "row_id"))), "cluster int, centroid array<double>")
+    return listed_centroids(spark, RandomSample(3).select(vectors(spark, sf_dir), 10, "features", "row_id"))
+
+
+PLUS_PLUS_SQL = plus_plus_ctes(10, 3, "embeddings", "vec_id", "embedding")
 
 
-@query("kmeans_init_plusplus")
+@query("kmeans_init_plusplus", f"with {', '.join(PLUS_PLUS_SQL)} select {LISTED} from start")
 def kmeans_init_plusplus(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(KMeansPlusPlus(3).select(vectors(spark, sf_dir), 10, "features", "row_id"))), "cluster int, centroid array<double>")
+    return listed_centroids(spark, KMeansPlusPlus(3).select(vectors(spark, sf_dir), 10, "features", "row_id"))
 
 
-@query("kmeans_embeddings")
+@query("kmeans_embeddings", f"with {', '.join([*PLUS_PLUS_SQL, *lloyd_ctes(10, 64), nearest_cte('last', 'c10')])} select cluster, count(*) as n from last group by 1")
 def kmeans_embeddings(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     model = KMeans(10, 64, ConvergenceCriteria(10, 1e-4), KMeansPlusPlus(3)).fit(rows)
