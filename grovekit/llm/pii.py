@@ -34,6 +34,8 @@ RIGHT = f"^[\\x20,;:)\"'-]{{1,4}}({WORD}[\\x20:=]{{1,3}}{WORD})"
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_SHARE = 3, 0.6, 0.1
 #: Patterns that a broadcast may hold (about 30 bytes each); beyond that a merge join takes its place.
 BROADCAST_PATTERNS = 200_000
+#: One text in so many is looked at first for patterns that occur too often; the result doesn't depend on it.
+PART = 64
 
 NOTHING = "cast(array() as array<struct<s:int,k:int,e:int,kind:string>>)"
 
@@ -161,17 +163,28 @@ def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds
 
 
 def specific(edges: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The edges of patterns that can reach the support and of whose occurrences in all texts MIN_SHARE have a token."""
+    """The edges of patterns that can reach the support and of whose occurrences in all texts MIN_SHARE have a token.
+
+    A pattern that occurs too often in a part of the texts alone does so in all of them: that part throws out the pairs of
+    common words, of which larger tables bring ever more to the support. What is left is counted in all texts.
+    """
     wide = write_table(edges.groupBy("p").agg(F.count("*").alias("support"), F.sum("n").alias("n")).where(f"support >= {MIN_SUPPORT}").select("p", "n", F.substring("p", 2, 1 << 30).alias("pair")), "pii-wide")
+    part = bodies.where(F.pmod(F.xxhash64("body"), F.lit(PART)) == 0)
+    wide = write_table(occurrences(wide, part, "left").where(f"n >= {MIN_SHARE} * coalesce(all, 0)").select("p", "n", "pair"), "pii-asked")
+    good = occurrences(wide, bodies, "inner").where(f"n >= {MIN_SHARE} * all").select("p")
+    return write_table(edges.join(good, "p", "left_semi"), "pii-specific")
+
+
+def occurrences(wide: DataFrame, bodies: DataFrame, how: str) -> DataFrame:
+    """wide with all: how often each pattern's words stand side by side in bodies."""
     n_wide = wide.count()
     if not n_wide:
-        return edges.limit(0)
+        return wide.withColumn("all", F.lit(0).cast("bigint"))
     words = bodies.select(F.regexp_extract_all(F.lower("body"), F.lit(WORD), F.lit(0)).alias("w")).where("size(w) > 1")
     pairs = words.select(F.explode(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).alias("pair"))
     asked = wide.select("pair").distinct()
     met = pairs.join(F.broadcast(asked) if n_wide <= BROADCAST_PATTERNS else asked.hint("merge"), "pair", "left_semi")
-    good = wide.join(met.groupBy("pair").agg(F.count("*").alias("all")), "pair").where(f"n >= {MIN_SHARE} * all").select("p")
-    return write_table(edges.join(good, "p", "left_semi"), "pii-specific")
+    return wide.join(met.groupBy("pair").agg(F.count("*").alias("all")), "pair", how)
 
 
 def bootstrap(edges: DataFrame, rounds: int | None) -> DataFrame:

@@ -158,6 +158,41 @@ def test_bootstrapping_against_the_slow_version(spark):
     assert all(x.n_found == len(by[x.doc_id]) for x in got)
 
 
+def rows_of_semi_joins(spark, key, since=-1):
+    """Rows that left semi joins on a column made in executions after since, and the last execution."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    listed = lambda xs: [xs.apply(i) for i in range(xs.size())]
+    runs, rows = [x.executionId() for x in listed(store.executionsList())], 0
+    for run in runs:
+        if run > since:
+            values = store.executionMetrics(run)
+            for node in listed(store.planGraph(run).allNodes()):
+                if "Join" in node.name() and "LeftSemi" in node.desc() and f"[{key}#" in node.desc():
+                    made = [m.accumulatorId() for m in listed(node.metrics()) if m.name() == "number of output rows"]
+                    rows += sum(int(values.apply(m).replace(",", "")) for m in made if values.contains(m))
+    return rows, max(runs, default=-1)
+
+
+def test_pairs_of_common_words_are_not_met_one_by_one(spark):
+    """Each pair of five words stands beside three phone numbers or more, and thousands of times without one."""
+    r = random.Random(4)
+    phone = lambda: f"+1 (202) 555-{r.randint(0, 9999):04d}"
+    rows = []
+    for i in range(640):
+        words = r.choices(["the", "of", "and", "to", "in"], k=400)
+        if i % 5 == 0:
+            words[r.randrange(400)] = phone()
+        rows.append((i, " ".join(words) + (f" my contact {phone() if i % 16 else f'KD-{10**5 + i}'}" if i % 4 == 0 else "")))
+    want = slow_found(rows)
+    assert sum(map(len, want.values())) == 40
+    _, last = rows_of_semi_joins(spark, "pair")
+    got = find_pii(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {x.doc_id: [tuple(map(int, s.split(":")[1:])) for s in x.spans.split(",") if s.startswith("id:")] for x in got} == want
+    met, _ = rows_of_semi_joins(spark, "pair", last)
+    assert 0 < met < 640 * 400 / 20
+
+
 def test_planted_identifiers_are_found(spark):
     """Customer numbers of no base kind behind words that also stand before phone numbers."""
     r = random.Random(9)
