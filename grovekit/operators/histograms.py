@@ -45,9 +45,10 @@ def fuse_equal(bins: Column) -> Column:
     return F.transform(xs, lambda x: F.struct(x.alias("x"), mass(x).alias("y")))
 
 
-def target_histogram_exact(df: DataFrame, features: list[str], target: str, node: str = "node_id") -> DataFrame:
-    """node, attr, value, y, n."""
-    return unpivot(df, features, [node, target], "bigint").groupBy(node, "attr", "value", F.col(target).alias("y")).agg(F.count("*").alias("n"))
+def target_histogram_exact(df: DataFrame, features: list[str], target: str, node: str = "node_id", weight: str | None = None) -> DataFrame:
+    """node, attr, value, y, n; weight: the column that tells how many rows a row stands for."""
+    long = unpivot(df, features, [node, target, *([weight] if weight else [])], "bigint")
+    return long.groupBy(node, "attr", "value", F.col(target).alias("y")).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
 
 
 def target_histogram(exact: DataFrame, keys: list[str], bins: int) -> DataFrame:

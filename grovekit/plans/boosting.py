@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import drop_table
 from .lineage import cut_lineage
-from .regression import StreamingRegressionTree
+from .regression import StreamingRegressionTree, count_alike
 from .tree import DecisionTree
 
 
@@ -43,7 +43,8 @@ class BoostChain:
 @dataclass
 class GradientBoostingRegression:
     """Each stage fits the inner tree to what is left of the target; all multipliers are 1 and the start is 0 unless
-    init is mean. Every cut_every stages the residuals are written, so that a stage's lineage stays short."""
+    init is mean. Rows of the same features and target have the same residual at each stage, so they are counted once and
+    the stages work on the counts. Every cut_every stages the residuals are written, so that a stage's lineage stays short."""
 
     iterations: int
     inner: StreamingRegressionTree
@@ -54,19 +55,20 @@ class GradientBoostingRegression:
     def fit(self, df: DataFrame, features: list[str], target: str) -> BoostChain:
         if self.iterations < 1:
             raise ValueError("iterations >= 1 is needed")
-        data = df.select(*(F.col(f).cast("bigint") for f in features), F.col(target).cast("double").alias("residual")).where("residual is not null and not isnan(residual)")
-        chain, table = BoostChain(self.learning_rate, features), None
+        data = df.select(*features, F.col(target).alias("residual"))
+        data = table = cut_lineage(count_alike(data, features, "residual", "_rows"))
+        chain = BoostChain(self.learning_rate, features)
         if self.init == "mean":
-            chain.start = data.agg(F.avg("residual")).first()[0] or 0.0
+            chain.start = data.agg(F.sum(F.col("residual") * F.col("_rows")) / F.sum("_rows")).first()[0] or 0.0
             data = data.withColumn("residual", F.col("residual") - chain.start)
         for stage in range(self.iterations):
-            tree = self.inner.fit(data, features, "residual").tree
+            tree = self.inner.fit(data, features, "residual", "_rows").tree
             chain.push_item(1.0, tree)
             step = F.lit(self.learning_rate) * tree.to_column(features)
             data = data.withColumn("residual", F.col("residual") - F.coalesce(step, F.lit(0.0)))
             if (stage + 1) % self.cut_every == 0 and stage + 1 < self.iterations:
                 data = cut_lineage(data)
-                if table is not None:
-                    drop_table(table)
+                drop_table(table)
                 table = data
+        drop_table(table)
         return chain
